@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 
 from bindery.deploy import ship
+from bindery.llm.near_dups import op8_minhash_near_dedup
 from bindery.llm.packing import op5_best_fit_packing
 from bindery.llm.token_files import op1_token_files
 
@@ -18,5 +19,5 @@ def _query(f):
     return run
 
 
-QUERIES = {f.__name__: _query(f) for f in (op1_token_files, op5_best_fit_packing)}
+QUERIES = {f.__name__: _query(f) for f in (op1_token_files, op5_best_fit_packing, op8_minhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
