@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,11 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.parquet(self.path(name))
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of steps whose results are written by now."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str = "") -> None:
         with contextlib.suppress(Exception):
             jvm = self.spark.sparkContext._jvm

@@ -7,6 +7,7 @@ import functools
 from bindery.deploy import ship
 from bindery.llm.near_dups import op8_minhash_near_dedup
 from bindery.llm.packing import op5_best_fit_packing
+from bindery.llm.repeats import op9_repeated_passages
 from bindery.llm.token_files import op1_token_files
 
 
@@ -19,5 +20,5 @@ def _query(f):
     return run
 
 
-QUERIES = {f.__name__: _query(f) for f in (op1_token_files, op5_best_fit_packing, op8_minhash_near_dedup)}
+QUERIES = {f.__name__: _query(f) for f in (op1_token_files, op5_best_fit_packing, op8_minhash_near_dedup, op9_repeated_passages)}
 ORACLE_SQL: dict[str, str] = {}
