@@ -9,6 +9,7 @@ library once per worker and cache period.
 from __future__ import annotations
 
 import functools
+import gc
 import itertools
 import os
 import re
@@ -20,6 +21,7 @@ ODD_SPACE = re.compile(r" (?!\S)")
 CUT = re.compile(r" (?=\S)")
 #: Pieces kept per worker before the cache starts anew.
 CACHE_PIECES = 1_300_000
+HOT_PIECES = 8192
 #: Longer pieces aren't kept, so that the cache is bounded in bytes too.
 PIECE_CHARS = 64
 
@@ -50,6 +52,7 @@ class PieceCache:
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int64)
         self.count = self.used = 0
+        self.hot: dict[str, int] = {}  # the most frequent of known, few enough for the processor's cache
 
     def _add(self, pieces: list[str], known: dict[str, int], before: str) -> None:
         for i in range(0, len(pieces), 8192):
@@ -70,20 +73,38 @@ class PieceCache:
             self.used += n
 
     def _codes(self, pieces: list[str], known: dict[str, int], before: str) -> np.ndarray:
-        codes = np.fromiter(map(known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        if known is self.known and self.hot:
+            codes = np.fromiter(map(self.hot.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+            rest = np.flatnonzero(codes < 0)
+            codes[rest] = np.fromiter(map(known.get, (pieces[i] for i in rest.tolist()), itertools.repeat(-1)), np.int64, len(rest))
+        else:
+            codes = np.fromiter(map(known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
         absent = np.flatnonzero(codes < 0)
         if len(absent):
-            missed = [pieces[i] for i in absent]
+            missed = [pieces[i] for i in absent.tolist()]
             new = list(dict.fromkeys(missed))
             self._add(new, known, before)
             codes[absent] = np.fromiter(map(known.__getitem__, missed), np.int64, len(missed))
             for x in new:
                 if len(x) > PIECE_CHARS:  # only its ids stay, until the reset
                     del known[x]
+        if known is self.known and not self.hot and len(pieces) >= 100_000:
+            times = np.bincount(codes)
+            top = np.argsort(times)[-HOT_PIECES:]
+            some = np.zeros(len(times), np.int64)
+            some[codes] = np.arange(len(pieces))
+            self.hot = {x: known[x] for x in (pieces[i] for i in some[top[times[top] > 1]].tolist()) if x in known}
         return codes
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids per text); a null text has none."""
+        gc.disable()  # nothing here makes cycles, and passes over a large cache are dear
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if self.count > CACHE_PIECES or self.used > 16 * CACHE_PIECES:
             self.reset()
         heads: list[str] = []
@@ -97,7 +118,7 @@ class PieceCache:
             counts[i] = len(own)
             pieces += own
         at = np.cumsum(counts) - counts
-        for i in at:
+        for i in at.tolist():
             pieces[i] = ""
         codes = self._codes(pieces, self.known, " ")
         codes[at] = self._codes(heads, self.first, "")
