@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 
 from bindery.deploy import ship
+from bindery.llm.host_quality import OP7_SQL, op7_host_quality
+from bindery.llm.line_dedup import OP6_SQL, op6_line_dedup
 from bindery.llm.near_dups import op8_minhash_near_dedup
 from bindery.llm.packing import op5_best_fit_packing
 from bindery.llm.repeats import op9_repeated_passages
@@ -20,5 +22,15 @@ def _query(f):
     return run
 
 
-QUERIES = {f.__name__: _query(f) for f in (op1_token_files, op5_best_fit_packing, op8_minhash_near_dedup, op9_repeated_passages)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: _query(f)
+    for f in (
+        op1_token_files,
+        op5_best_fit_packing,
+        op6_line_dedup,
+        op7_host_quality,
+        op8_minhash_near_dedup,
+        op9_repeated_passages,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op7_host_quality": OP7_SQL}
