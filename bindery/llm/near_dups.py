@@ -10,7 +10,8 @@ confirmed on the full shingle sets.
 Documents of equal shingle sets are one node. Pairs within a key are never all emitted: a key's
 members are first compared with its smallest one; then only members that are in different
 components yet are compared, a bounded number of pivots per key and round, until no key holds an
-unchecked pair across components. No key, group or pair is capped or dropped.
+unchecked pair across components. Shingles that a document has alone among these bound its similarity
+to any other from above, which settles most pairs of a large group of loose copies without a look. No key, group or pair is capped or dropped.
 
 Nulls: a null text, or one without words, has an empty set and no links. A null doc_id is linked with
 nothing and kept. Rows of one doc_id count as one document. An empty table gives no rows. Other
@@ -52,6 +53,8 @@ class Near:
         return np.array_split(np.arange(self.positions), self.radius // 2 + 1)
 
 
+#: Rounds with few pivots per key before the rounds with many, and the pivots of a key in each.
+MERGING, MERGING_PIVOTS = 1, 8
 #: Pairs of pivots and members that one key may yield in one round.
 KEY_PAIRS = 2_000_000
 
@@ -142,6 +145,32 @@ def chunk_keys(nodes: DataFrame, how: Near) -> DataFrame:
     return nodes.select("node", "size", "signature").mapInArrow(keys, "key long, node long, size int")
 
 
+def _sets(docs: DataFrame, wanted: DataFrame, how: Near) -> DataFrame:
+    """(node, shingles) of the documents whose ids are in ``wanted`` (doc_id), a written table."""
+
+    def sets(batches):
+        for batch in batches:
+            for i, j, data, offsets in text_blocks(batch.column("text")):
+                flat, counts = shingle_sets(data, offsets, how.words)
+                ends = np.cumsum(counts)
+                yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.array([flat[e - n : e].tobytes() for e, n in zip(ends, counts)], pa.binary())], names=["node", "shingles"])
+
+    return _texts(docs).join(small(wanted), "doc_id", "left_semi").mapInArrow(sets, "node long, shingles binary")
+
+
+def _own(docs: DataFrame, wanted: DataFrame, how: Near) -> DataFrame:
+    """(node, own): how many shingles each of these documents has that none of the others has."""
+
+    def rows(batches):
+        for batch in batches:
+            for node, x in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist()):
+                h = np.frombuffer(x, np.int64)
+                yield pa.record_batch([pa.array(h), pa.array(np.full(len(h), node))], names=["h", "node"])
+
+    each = _sets(docs, wanted, how).mapInArrow(rows, "h long, node long")
+    return each.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count("*").cast("int").alias("own"))
+
+
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Near, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (u, v) whose signatures are within the radius and whose full sets are similar enough."""
 
@@ -156,15 +185,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Near, scra
     close = scratch.table(close.select("u", "v", "su", "sv").mapInArrow(near, "u long, v long"), f"{name}-close")
     wanted = scratch.table(close.select(F.col("u").alias("doc_id")).union(close.select("v")).distinct(), f"{name}-wanted")
 
-    def sets(batches):
-        for batch in batches:
-            for i, j, data, offsets in text_blocks(batch.column("text")):
-                flat, counts = shingle_sets(data, offsets, how.words)
-                ends = np.cumsum(counts)
-                yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.array([flat[e - n : e].tobytes() for e, n in zip(ends, counts)], pa.binary())], names=["node", "shingles"])
-
-    full = _texts(docs).join(small(wanted), "doc_id", "left_semi").mapInArrow(sets, "node long, shingles binary")
-    full = scratch.table(full.dropDuplicates(["node"]), f"{name}-sets")
+    full = scratch.table(_sets(docs, wanted, how).dropDuplicates(["node"]), f"{name}-sets")
 
     def confirm(batches):
         for batch in batches:
@@ -183,9 +204,9 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Near, scra
     return links
 
 
-def _like(a: str, b: str, how: Near):
-    """Sets whose sizes differ more than this can't be similar enough."""
-    return F.expr(f"100L * least({a}, {b}) >= {how.percent}L * greatest({a}, {b})")
+def _like(a: str, b: str, how: Near, own_a: str = "0", own_b: str = "0"):
+    """Sets whose sizes, less what each has alone, differ more than this can't be similar enough."""
+    return F.expr(f"100L * least({a} - {own_a}, {b} - {own_b}) >= {how.percent}L * greatest({a} + {own_b}, {b} + {own_a})")
 
 
 def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
@@ -203,27 +224,37 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
     pairs = members.where(F.col("node") != F.col("pivot")).where(_like("size", "pivot_size", how)).select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
     links = _linked(pairs, nodes, docs, how, scratch, "round1")
     joined = scratch.table(components(links, scratch, "round1"), "components1")
-    open_members, k = members.select("key", "node", "size", (F.col("node") == F.col("pivot")).alias("done")), 1
+    open_members, k = members.select("key", "node", "size", F.lit(0).alias("own")), 1
     while True:
         k += 1
         now = open_members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("m"), F.sum(F.col("done").cast("int")).alias("d")).where("a <> b and m - d > 1").select("key", "m")
-        now = scratch.table(now.where(~F.col("done")).join(mixed, "key"), f"open{k}")
-        sizes = now.groupBy("key", "component").agg(F.count("*").alias("own"))
-        order = Window.partitionBy("key").orderBy("own", "component", "node")
-        ranked = now.join(sizes, ["key", "component"]).withColumn("rank", F.row_number().over(order))
-        ranked = scratch.table(ranked.withColumn("pivot", F.col("rank") <= F.greatest(F.lit(32), F.floor(F.lit(KEY_PAIRS) / F.col("m")))).drop("own"), f"ranked{k}")
-        p = ranked.where("pivot").select("key", F.col("node").alias("x"), F.col("size").alias("xs"), F.col("component").alias("xc"), F.col("rank").alias("xr"))
-        pairs = ranked.join(p, "key").where("component <> xc and rank > xr").where(_like("size", "xs", how)).select(F.least("node", "x").alias("u"), F.greatest("node", "x").alias("v")).distinct()
+        mixed = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("m")).where("a <> b").select("key", "m")
+        now = scratch.table(now.join(mixed, "key"), f"open{k}")
+        if k == 2:
+            # what a set has alone among all that are still compared bounds its similarity to any of them
+            own = scratch.table(_own(docs, scratch.table(now.select(F.col("node").alias("doc_id")).distinct(), "open"), how), "own")
+            now = scratch.table(now.drop("own").join(own, "node", "left").fillna(0, ["own"]), "open-own")
+        if k <= MERGING + 1:
+            # a few pivots of each key, alike in all keys, meet all other components: most of these merge
+            order, most = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(k)), "node"), F.lit(MERGING_PIVOTS)
+            ranked = now
+        else:
+            # then all members of all components but a key's largest meet the other components
+            sizes = now.groupBy("key", "component").agg(F.count("*").alias("in_key"))
+            order, most = Window.partitionBy("key").orderBy("in_key", "component", "node"), F.greatest(F.lit(32), F.floor(F.lit(KEY_PAIRS) / F.col("m")))
+            ranked = now.join(sizes, ["key", "component"])
+        ranked = scratch.table(ranked.withColumn("rank", F.row_number().over(order)).withColumn("pivot", F.col("rank") <= most).select("key", "node", "size", "own", "component", "rank", "pivot"), f"ranked{k}")
+        p = ranked.where("pivot").select("key", F.col("node").alias("x"), F.col("size").alias("xs"), F.col("own").alias("xo"), F.col("component").alias("xc"), F.col("rank").alias("xr"))
+        pairs = ranked.join(p, "key").where("component <> xc and rank > xr").where(_like("size", "xs", how, "own", "xo")).select(F.least("node", "x").alias("u"), F.greatest("node", "x").alias("v")).distinct()
         found = _linked(pairs, nodes, docs, how, scratch, f"round{k}")
-        rest = ranked.where("not pivot")
-        some, more = bool(found.head(1)), bool(rest.head(1))
-        if some:
+        # a pivot has met all others of its key that it wasn't joined with, so it is done there
+        rest = ranked.where("not pivot").select("key", "node", "size", "own")
+        if found.head(1):
             links = links.unionByName(found)
             joined = scratch.table(components(links, scratch, f"round{k}"), f"components{k}")
-        if not more:
+        if not rest.head(1):
             break
-        open_members = rest.select("key", "node", "size", F.lit(False).alias("done"))
+        open_members = rest
     of_set = scratch.table(nodes.join(joined, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component_id")), "sets")
     out = signed.select("doc_id", "n_shingles", "hi", "lo").join(of_set, ["hi", "lo"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
