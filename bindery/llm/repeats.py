@@ -24,6 +24,8 @@ Texts of fewer words than a window stay whole. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from bindery.llm.tokens import ragged
 from bindery.llm.words import Words, gram_counts, gram_hashes, text_blocks
 
 #: Words of passages in a shard, and of the documents that stream past one copy of its automaton, about.
-SHARD_WORDS, STREAM_WORDS = 1_000_000, 8_000_000
+SHARD_WORDS, STREAM_WORDS = 400_000, 2_000_000
 _FIRST = -(2**63)
 
 
@@ -129,7 +131,6 @@ def _passages(rows: DataFrame, window: int, phrase: int, shards: int) -> DataFra
     def find(batches):
         for batch in batches:
             out = []
-            shard = batch.column("shard").to_pylist()
             ds = batch.column("d").to_pylist()
             for k, (places, text) in enumerate(zip(batch.column("ps"), batch.column("text").to_pylist())):
                 places = np.sort(places.values.to_numpy())
@@ -141,12 +142,11 @@ def _passages(rows: DataFrame, window: int, phrase: int, shards: int) -> DataFra
                     data = np.frombuffer(passage, np.uint8)
                     w = Words(data, np.array([0, len(data)]))
                     anchors = np.unique(window_anchors(w, w.hashes(), window, phrase)[1])
-                    out.append((shard[k], ds[k], a, passage.decode(), anchors.astype(np.int64).tolist()))
+                    out.append((zlib.crc32(struct.pack("<qq", ds[k], a >> 16)) % shards, ds[k], a, passage.decode(), anchors.astype(np.int64).tolist()))
             if out:
                 yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64())))], names=["shard", "d", "start", "text", "anchors"])
 
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("d"), F.lit(shards)))
-    return rows.select("shard", "d", "ps", "text").mapInArrow(find, "shard long, d long, start int, text string, anchors array<long>")
+    return rows.select("d", "ps", "text").mapInArrow(find, "shard long, d long, start int, text string, anchors array<long>")
 
 
 class _Shard:
@@ -162,7 +162,8 @@ class _Shard:
         w = Words(data, offsets)
         hashes = w.hashes()
         self.words, numbers = np.unique(hashes, return_inverse=True)
-        numbers = numbers.astype(np.int64) + 1
+        self.width = max(1, -(-int(len(self.words)).bit_length() // 5))
+        text = self._text(numbers.astype(np.int64) + 1)
         own = gram_counts(w.first, window)
         starts = ragged(w.first[:-1], own)
         self.windows = gram_hashes(hashes, window)[starts]
@@ -171,20 +172,30 @@ class _Shard:
         self.d = np.repeat(np.array([x[0] for x in passages], np.int64), own)[order]
         self.p = (np.repeat(np.array([x[1] for x in passages], np.int64), own) + starts - np.repeat(w.first[:-1], own))[order]
         self.window, self.phrase = window, phrase
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        stride = window - phrase + 1
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        stride, width = window - phrase + 1, self.width
         for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
             for k in range(a, b - phrase + 1, stride):
-                self.automaton.add_word(tuple(numbers[k : k + phrase].tolist()))
+                self.automaton.add_word(text[k * width : (k + phrase) * width])
         self.automaton.make_automaton()
 
+    def _text(self, numbers: np.ndarray) -> str:
+        """Words as characters: the digits of their numbers to the base 32, each place with digits of its own.
+
+        Nodes of the automaton so have few children, which it searches one by one, and matches end with words.
+        """
+        out = np.empty((len(numbers), self.width), np.uint32)
+        for j in range(self.width):
+            out[:, j] = np.where(numbers > 0, 64 + 32 * j + (numbers >> 5 * j & 31), 32)
+        return out.tobytes().decode("utf-32-le")
+
     def repeats(self, hashes: np.ndarray, d: int) -> np.ndarray:
         """Starts of the windows of document ``d`` that a passage holds at another, first place."""
         if len(hashes) < self.window:
             return np.empty(0, np.int64)
         k = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         numbers = np.where(self.words[k] == hashes, k + 1, 0)
-        last = np.fromiter((e for e, _ in self.automaton.iter(tuple(numbers.tolist()))), np.int64)
+        last = np.fromiter((e for e, _ in self.automaton.iter(self._text(numbers))), np.int64) // self.width
         if not len(last):
             return last
         # windows that hold a phrase ending at word e start from e - window + 1 to e - phrase + 1
@@ -197,7 +208,7 @@ class _Shard:
         return starts[(self.windows[k] == found) & ((self.d[k] != d) | (self.p[k] != starts))]
 
 
-def _stream(dealt: DataFrame, window: int, phrase: int) -> DataFrame:
+def _stream(dealt: DataFrame, window: int) -> DataFrame:
     """(d, t, starts): dealt has, for each group, its passages (kind 0) before its documents (kind 1)."""
 
     def find(batches):
@@ -215,7 +226,7 @@ def _stream(dealt: DataFrame, window: int, phrase: int) -> DataFrame:
                         held.append((ds[k], starts[k], bytes(data[offsets[k - i] : offsets[k - i + 1]]).decode()))
                         continue
                     if shard is None:
-                        shard, held = _Shard(held, window, phrase), []
+                        shard, held = _Shard(held, window, max(1, window // 3)), []
                     if w is None:
                         w = Words(data, offsets)
                         hashes = w.hashes()
@@ -236,7 +247,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, scratch: Scratch | None
     anchors = scratch.table(_anchors(rows, window, phrase), "anchors")
     recurring = scratch.table(anchors.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "recurring")
     scratch.release()
-    own = anchors.join(small(recurring, 4 * BROADCAST_ROWS), "h").groupBy("d", "t").agg(F.collect_set("h").alias("hs"), F.max("words").alias("words"))
+    own = anchors.join(small(recurring), "h").groupBy("d", "t").agg(F.collect_set("h").alias("hs"), F.max("words").alias("words"))
     candidates = scratch.table(own, "candidates")
     scratch.release()
     scratch.drop("anchors")
@@ -263,7 +274,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, scratch: Scratch | None
     )
     texts = rows.join(small(scratch.table(to, "to")), ["d", "t"]).select("shard", "salt", F.lit(1).alias("kind"), "d", "t", F.lit(0).alias("start"), "text")
     dealt = patterns.unionByName(texts).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    found = scratch.table(_stream(dealt, window, phrase), "found")
+    found = scratch.table(_stream(dealt, window), "found")
     scratch.release()
     return found.groupBy("d", "t").agg(F.collect_list("starts").alias("starts"))
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time; a longer text is handled alone.
-BYTES = 4_000_000
+BYTES = 2_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -45,7 +45,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, 1 << max(22, (n - 1).bit_length()))
+    return _powers(base, 1 << max(21, (n - 1).bit_length()))
 
 
 class Words:
