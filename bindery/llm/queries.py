@@ -6,6 +6,7 @@ import functools
 
 from bindery.deploy import ship
 from bindery.llm.host_quality import OP7_SQL, op7_host_quality
+from bindery.llm.language import op3_language_id
 from bindery.llm.license_scan import op2_license_scan
 from bindery.llm.line_dedup import OP6_SQL, op6_line_dedup
 from bindery.llm.near_dups import op8_minhash_near_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     for f in (
         op1_token_files,
         op2_license_scan,
+        op3_language_id,
         op5_best_fit_packing,
         op6_line_dedup,
         op7_host_quality,
