@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +42,22 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/bindery-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+        self.held: list[DataFrame] = []
         atexit.register(self.drop)
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` kept on the executors' disks until ``free``. A lost part is computed again from what came before,
+
+        so this suits small steps between written tables; those that later steps must not repeat are written.
+        """
+        self.held.append(df.persist(StorageLevel.DISK_ONLY))
+        return df
+
+    def free(self) -> None:
+        for df in self.held:
+            df.unpersist()
+        self.held = []
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 

@@ -9,9 +9,9 @@ starts earlier (smaller doc_id, or same document and earlier start) is removed.
    its first place. Runs of first places in a document are the recurring passages.
 3. Automata: passages are dealt to shards by their document. A shard's automaton (pyahocorasick, over
    word numbers) holds phrases of its passages at such distances that every window contains one.
-4. Streaming: each document goes to the shards whose passages share an anchor with it (to others it
-   has no window to give). Around every phrase found there, windows are confirmed against the
-   shard's passages, and count unless they are the first place.
+4. Streaming: each document goes to the shards whose passages share an anchor with it, in the parts
+   that hold such anchors (elsewhere it has no window to give). Around every phrase found there,
+   windows are confirmed against the shard's passages, and count unless they are the first place.
 
 Documents stream past an automaton one by one, so a task holds one shard and one batch; a shard that
 many documents share is dealt out again by salt. Word and window hashes have 64 bits.
@@ -36,8 +36,8 @@ from bindery.llm.common import BROADCAST_ROWS, Scratch, small, table
 from bindery.llm.tokens import ragged
 from bindery.llm.words import Words, gram_counts, gram_hashes, text_blocks
 
-#: Words of passages in a shard, and of the documents that stream past one copy of its automaton, about.
-SHARD_WORDS, STREAM_WORDS = 400_000, 2_000_000
+#: Words of passages in a shard, and characters of documents that stream past one copy of its automaton, about.
+SHARD_WORDS, STREAM_CHARS = 400_000, 10_000_000
 _FIRST = -(2**63)
 
 
@@ -64,7 +64,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _anchors(rows: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(h, d, t, n, words): anchors of each document, in how many places, and the document's words."""
+    """(h, d, t, n): anchors of each document, and in how many places."""
 
     def find(batches):
         for batch in batches:
@@ -90,11 +90,11 @@ def _anchors(rows: DataFrame, window: int, phrase: int) -> DataFrame:
                 n = np.diff(np.append(at, len(doc)))
                 own = pa.array(doc[at] + i)
                 yield pa.record_batch(
-                    [pa.array(value[at].astype(np.int64)), batch.column("d").take(own), batch.column("t").take(own), pa.array(n.astype(np.int32)), pa.array(np.diff(w.first)[doc[at]].astype(np.int32))],
-                    names=["h", "d", "t", "n", "words"],
+                    [pa.array(value[at].astype(np.int64)), batch.column("d").take(own), batch.column("t").take(own), pa.array(n.astype(np.int32))],
+                    names=["h", "d", "t", "n"],
                 )
 
-    return rows.mapInArrow(find, "h long, d long, t long, n int, words int")
+    return rows.mapInArrow(find, "h long, d long, t long, n int")
 
 
 def _candidate_windows(rows: DataFrame, window: int, phrase: int) -> DataFrame:
@@ -149,6 +149,33 @@ def _passages(rows: DataFrame, window: int, phrase: int, shards: int) -> DataFra
     return rows.select("d", "ps", "text").mapInArrow(find, "shard long, d long, start int, text string, anchors array<long>")
 
 
+def _segments(rows: DataFrame, window: int, phrase: int) -> DataFrame:
+    """(shard, d, t, start, text): the parts of each document that each shard of its list ``to`` (h, shard) may know."""
+
+    def find(batches):
+        for batch in batches:
+            lists = batch.column("to")
+            for i, j, data, offsets in text_blocks(batch.column("text")):
+                w = Words(data, offsets)
+                starts, anchor = window_anchors(w, w.hashes(), window, phrase)
+                at = np.concatenate([[0], np.cumsum(gram_counts(w.first, window))])
+                ds, ts = (batch.column(c).slice(i, j - i).to_pylist() for c in ("d", "t"))
+                out = []
+                for k in range(j - i):
+                    own = lists[i + k].values
+                    h, shard = (own.field(f).to_numpy() for f in ("h", "shard"))
+                    a, first = anchor[at[k] : at[k + 1]], int(w.first[k])
+                    for s in np.unique(shard):
+                        hit = np.flatnonzero(np.isin(a, h[shard == s].view(np.uint64)))
+                        for run in np.split(hit, np.flatnonzero(np.diff(hit) > window) + 1) if len(hit) else []:
+                            x, y = int(run[0]), int(run[-1]) + window - 1
+                            out.append((int(s), ds[k], ts[k], x, bytes(data[w.starts[first + x] : w.ends[first + y]]).decode()))
+                if out:
+                    yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()))], names=["shard", "d", "t", "start", "text"])
+
+    return rows.select("d", "t", "text", "to").mapInArrow(find, "shard long, d long, t long, start int, text string")
+
+
 class _Shard:
     """The automaton of a shard's passages, and their windows with first places."""
 
@@ -189,8 +216,8 @@ class _Shard:
             out[:, j] = np.where(numbers > 0, 64 + 32 * j + (numbers >> 5 * j & 31), 32)
         return out.tobytes().decode("utf-32-le")
 
-    def repeats(self, hashes: np.ndarray, d: int) -> np.ndarray:
-        """Starts of the windows of document ``d`` that a passage holds at another, first place."""
+    def repeats(self, hashes: np.ndarray, d: int, start: int) -> np.ndarray:
+        """Starts of the windows of these words of document ``d`` that a passage holds at another, first place."""
         if len(hashes) < self.window:
             return np.empty(0, np.int64)
         k = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
@@ -205,7 +232,9 @@ class _Shard:
         starts = np.flatnonzero(np.cumsum(near)[:-1] > 0)
         found = gram_hashes(hashes, self.window)[starts]
         k = np.minimum(np.searchsorted(self.windows, found), len(self.windows) - 1)
-        return starts[(self.windows[k] == found) & ((self.d[k] != d) | (self.p[k] != starts))]
+        same = self.windows[k] == found
+        k, starts = k[same], starts[same] + start
+        return starts[(self.d[k] != d) | (self.p[k] != starts)]
 
 
 def _stream(dealt: DataFrame, window: int) -> DataFrame:
@@ -230,7 +259,7 @@ def _stream(dealt: DataFrame, window: int) -> DataFrame:
                     if w is None:
                         w = Words(data, offsets)
                         hashes = w.hashes()
-                    at = shard.repeats(hashes[w.first[k - i] : w.first[k - i + 1]], ds[k])
+                    at = shard.repeats(hashes[w.first[k - i] : w.first[k - i + 1]], ds[k], starts[k])
                     if len(at):
                         found.append((ds[k], ts[k], at.astype(np.int32).tobytes()))
             if found:
@@ -247,7 +276,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, scratch: Scratch | None
     anchors = scratch.table(_anchors(rows, window, phrase), "anchors")
     recurring = scratch.table(anchors.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "recurring")
     scratch.release()
-    own = anchors.join(small(recurring), "h").groupBy("d", "t").agg(F.collect_set("h").alias("hs"), F.max("words").alias("words"))
+    own = anchors.join(small(recurring), "h").groupBy("d", "t").agg(F.collect_set("h").alias("hs"))
     candidates = scratch.table(own, "candidates")
     scratch.release()
     scratch.drop("anchors")
@@ -264,17 +293,18 @@ def repeated_windows(docs: DataFrame, window: int = 20, scratch: Scratch | None
     total = places.agg(F.sum(F.size("ps"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
     passages = scratch.table(_passages(rows.join(beside(places, "ps"), ["d", "t"]), window, phrase, shards), "passages")
-    routes = candidates.select("d", "t", "words", F.explode("hs").alias("h")).join(passages.select("shard", F.explode("anchors").alias("h")).distinct(), "h")
-    routes = scratch.table(routes.select("d", "t", "words", "shard").distinct(), "routes")
-    loads = routes.groupBy("shard").agg(F.ceil(F.sum("words") / STREAM_WORDS).cast("int").alias("salts"))
-    loads = scratch.table(loads, "loads")
-    to = routes.join(small(loads), "shard").select("d", "t", "shard", F.pmod(F.xxhash64("d", "t"), F.col("salts")).cast("int").alias("salt"))
-    patterns = passages.join(small(loads), "shard").select(
+    routes = candidates.select("d", "t", F.explode("hs").alias("h")).join(passages.select("shard", F.explode("anchors").alias("h")).distinct(), "h")
+    routes = scratch.table(routes.groupBy("d", "t").agg(F.collect_set(F.struct("h", "shard")).alias("to")), "routes")
+    segments = scratch.table(_segments(rows.join(beside(routes, "to"), ["d", "t"]), window, phrase), "segments")
+    loads = segments.groupBy("shard").agg(F.ceil(F.sum(F.length("text")) / STREAM_CHARS).cast("int").alias("salts"))
+    loads = small(scratch.keep(loads))
+    patterns = passages.join(loads, "shard").select(
         "shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "d", F.lit(0).cast("long").alias("t"), "start", "text"
     )
-    texts = rows.join(small(scratch.table(to, "to")), ["d", "t"]).select("shard", "salt", F.lit(1).alias("kind"), "d", "t", F.lit(0).alias("start"), "text")
+    texts = segments.join(loads, "shard").select("shard", F.pmod(F.xxhash64("d", "t", "start"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "d", "t", "start", "text")
     dealt = patterns.unionByName(texts).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
     found = scratch.table(_stream(dealt, window), "found")
+    scratch.free()
     scratch.release()
     return found.groupBy("d", "t").agg(F.collect_list("starts").alias("starts"))
 
