@@ -89,6 +89,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def few(df: DataFrame) -> DataFrame:
+    """``df``, whose rows are narrow, in as few parts as the session's advisory size asks for.
+
+    A long stage over texts then leaves its small results in a few files instead of one a task.
+    """
+    return df.hint("rebalance")
+
+
 def split_rows(lengths, most: int):
     """Ranges [i, j) of consecutive rows whose lengths sum to ``most`` or less; a longer row stands alone."""
     i, total = 0, 0

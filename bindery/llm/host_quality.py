@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import Scratch, small, table
+from bindery.llm.common import Scratch, few, small, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -83,7 +83,7 @@ def host_quality(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -
     """(doc_id, measures, base_failed, kept) of each row."""
     scratch = Scratch(docs.sparkSession, "quality")
     measured = docs.select(F.col("doc_id").alias("doc_id"), F.col(host).cast("string").alias("host"), "text")
-    measured = scratch.table(measures(measured, ["doc_id", "host"]), "measures")
+    measured = scratch.table(few(measures(measured, ["doc_id", "host"])), "measures")
     bad = scratch.table(host_verdicts(measured, "host", max_rate).where("rejected").select(F.col("host").alias("_host"), "rejected"), "hosts")
     out = measured.join(small(bad), F.col("host").eqNullSafe(F.col("_host")), "left").withColumn("base_failed", base_failed())
     out = out.withColumn("kept", ~F.col("base_failed") & F.col("rejected").isNull())

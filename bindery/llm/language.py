@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import table
+from bindery.llm.common import few, table
 from bindery.llm.words import text_blocks
 
 #: Language families; a language of none of them is a family of its own.
@@ -194,4 +194,4 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang")
     model = fit(docs.where(~held_out()))
     out = identify(docs.select("doc_id", "text", held_out().alias("held_out")), model, ["doc_id", "held_out"])
-    return out.select("doc_id", "held_out", "lang_pred", "score")
+    return few(out.select("doc_id", "held_out", "lang_pred", "score"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import Scratch, small, table
+from bindery.llm.common import Scratch, few, small, table
 
 BASE = {"mit": ["mit license"], "apache": ["apache license"], "gpl": ["general public license"]}
 
@@ -103,7 +103,7 @@ def scan_licenses(docs: DataFrame, coverage: float = 0.75) -> DataFrame:
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("t"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     out = rows.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")), "left")
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return out.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word", blank("base_labels"), blank("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return few(out.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word", blank("base_labels"), blank("labels"), F.coalesce("score", F.lit(0.0)).alias("score")))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import Scratch, small, table
+from bindery.llm.common import Scratch, few, small, table
 from bindery.llm.components import components
 from bindery.llm.tokens import ragged
 from bindery.llm.words import Words, gram_counts, gram_hashes, mix, text_blocks
@@ -211,14 +211,14 @@ def _like(a: str, b: str, how: Near, own_a: str = "0", own_b: str = "0"):
 def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "near")
-    signed = scratch.table(signatures(docs, how), "signatures")
+    signed = scratch.table(few(signatures(docs, how)), "signatures")
     nodes = scratch.table(
-        signed.where("hi is not null and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.first("n_shingles").cast("int").alias("size"), F.first("signature").alias("signature")),
+        few(signed.where("hi is not null and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.first("n_shingles").cast("int").alias("size"), F.first("signature").alias("signature"))),
         "nodes",
     )
     keyed = chunk_keys(nodes, how)
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("p")).where("n > 1").select("key", "n", F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size"))
-    members = scratch.table(keyed.join(shared, "key"), "members")
+    members = scratch.table(few(keyed.join(shared, "key")), "members")
 
     pairs = members.where(F.col("node") != F.col("pivot")).where(_like("size", "pivot_size", how)).select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
     links = _linked(pairs, nodes, docs, how, scratch, "round1")

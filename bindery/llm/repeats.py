@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import BROADCAST_ROWS, Scratch, small, table
+from bindery.llm.common import BROADCAST_ROWS, Scratch, few, small, table
 from bindery.llm.tokens import ragged
 from bindery.llm.words import Words, gram_counts, gram_hashes, text_blocks
 
@@ -273,13 +273,13 @@ def repeated_windows(docs: DataFrame, window: int = 20, scratch: Scratch | None
     scratch = scratch or Scratch(docs.sparkSession, "repeats")
     phrase = max(1, window // 2)
     rows = _rows(docs)
-    anchors = scratch.table(_anchors(rows, window, phrase), "anchors")
-    recurring = scratch.table(anchors.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "recurring")
+    anchors = scratch.keep(_anchors(rows, window, phrase))
+    recurring = scratch.table(few(anchors.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")), "recurring")
     scratch.release()
     own = anchors.join(small(recurring), "h").groupBy("d", "t").agg(F.collect_set("h").alias("hs"))
-    candidates = scratch.table(own, "candidates")
+    candidates = scratch.table(few(own), "candidates")
+    anchors.unpersist()
     scratch.release()
-    scratch.drop("anchors")
 
     def beside(df: DataFrame, column: str) -> DataFrame:
         """With a broadcast hint if the lists in ``column`` hold few enough numbers in all."""
@@ -288,14 +288,14 @@ def repeated_windows(docs: DataFrame, window: int = 20, scratch: Scratch | None
 
     windows = _candidate_windows(rows.join(beside(candidates, "hs").select("d", "t", "hs"), ["d", "t"]), window, phrase)
     first = windows.groupBy("w").agg(F.min(F.struct("d", "p", "t")).alias("f"), F.count("*").alias("n")).where("n > 1").select("f.*")
-    places = scratch.table(first.groupBy("d", "t").agg(F.collect_list("p").alias("ps")), "places")
+    places = scratch.table(few(first.groupBy("d", "t").agg(F.collect_list("p").alias("ps"))), "places")
     scratch.release()
     total = places.agg(F.sum(F.size("ps"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
-    passages = scratch.table(_passages(rows.join(beside(places, "ps"), ["d", "t"]), window, phrase, shards), "passages")
+    passages = scratch.keep(_passages(rows.join(beside(places, "ps"), ["d", "t"]), window, phrase, shards))
     routes = candidates.select("d", "t", F.explode("hs").alias("h")).join(passages.select("shard", F.explode("anchors").alias("h")).distinct(), "h")
-    routes = scratch.table(routes.groupBy("d", "t").agg(F.collect_set(F.struct("h", "shard")).alias("to")), "routes")
-    segments = scratch.table(_segments(rows.join(beside(routes, "to"), ["d", "t"]), window, phrase), "segments")
+    routes = scratch.keep(routes.groupBy("d", "t").agg(F.collect_set(F.struct("h", "shard")).alias("to")))
+    segments = scratch.keep(_segments(rows.join(beside(routes, "to"), ["d", "t"]), window, phrase))
     loads = segments.groupBy("shard").agg(F.ceil(F.sum(F.length("text")) / STREAM_CHARS).cast("int").alias("salts"))
     loads = small(scratch.keep(loads))
     patterns = passages.join(loads, "shard").select(
@@ -303,7 +303,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, scratch: Scratch | None
     )
     texts = segments.join(loads, "shard").select("shard", F.pmod(F.xxhash64("d", "t", "start"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "d", "t", "start", "text")
     dealt = patterns.unionByName(texts).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    found = scratch.table(_stream(dealt, window), "found")
+    found = scratch.table(few(_stream(dealt, window)), "found")
     scratch.free()
     scratch.release()
     return found.groupBy("d", "t").agg(F.collect_list("starts").alias("starts"))
@@ -312,7 +312,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, scratch: Scratch | None
 def remove_repeats(docs: DataFrame, window: int = 20, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, text]) of each row; text keeps the white space after kept words."""
     scratch = Scratch(docs.sparkSession, "repeats")
-    spans = scratch.table(repeated_windows(docs, window, scratch), "spans")
+    spans = scratch.table(few(repeated_windows(docs, window, scratch)), "spans")
     total = spans.agg(F.sum(F.aggregate("starts", F.lit(0), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
     joined = _rows(docs).join(F.broadcast(spans) if total <= 16 * BROADCAST_ROWS else spans, ["d", "t"], "left")
 
@@ -342,6 +342,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep_text: bool = False) -
                 yield pa.record_batch(columns[: 5 if keep_text else 4], names=["doc_id", "n_words", "n_removed", "kept_sha256", "text"][: 5 if keep_text else 4])
 
     cleaned = joined.select("d", "text", "starts").mapInArrow(clean, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text)
+    cleaned = cleaned if keep_text else few(cleaned)
     return cleaned.withColumn("doc_id", F.when(F.col("doc_id") != _FIRST, F.col("doc_id")))
 
 
