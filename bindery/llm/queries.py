@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 
 from bindery.deploy import ship
+from bindery.llm.ann import op4_nearest_neighbours
 from bindery.llm.host_quality import OP7_SQL, op7_host_quality
 from bindery.llm.language import op3_language_id
 from bindery.llm.license_scan import op2_license_scan
@@ -30,6 +31,7 @@ QUERIES = {
         op1_token_files,
         op2_license_scan,
         op3_language_id,
+        op4_nearest_neighbours,
         op5_best_fit_packing,
         op6_line_dedup,
         op7_host_quality,
