@@ -36,8 +36,8 @@ from bindery.llm.common import BROADCAST_ROWS, Scratch, few, small, table
 from bindery.llm.tokens import ragged
 from bindery.llm.words import Words, gram_counts, gram_hashes, text_blocks
 
-#: Words of passages in a shard, and characters of documents that stream past one copy of its automaton, about.
-SHARD_WORDS, STREAM_CHARS = 400_000, 10_000_000
+#: Words of passages in a shard, and anchors of the documents that stream past one copy of its automaton, about.
+SHARD_WORDS, STREAM_ANCHORS = 400_000, 250_000
 _FIRST = -(2**63)
 
 
@@ -126,18 +126,16 @@ def _candidate_windows(rows: DataFrame, window: int, phrase: int) -> DataFrame:
 
 
 def _passages(rows: DataFrame, window: int, phrase: int, shards: int) -> DataFrame:
-    """(shard, d, start, text, anchors) of each run of windows that start at the row's places ps."""
+    """(shard, d, start, text, anchors) of each run of windows, from the row's places a to b."""
 
     def find(batches):
         for batch in batches:
             out = []
             ds = batch.column("d").to_pylist()
-            for k, (places, text) in enumerate(zip(batch.column("ps"), batch.column("text").to_pylist())):
-                places = np.sort(places.values.to_numpy())
+            for k, text in enumerate(batch.column("text").to_pylist()):
                 own = text.encode().split()
-                cut = np.flatnonzero(np.diff(places) != 1) + 1
-                for run in np.split(places, cut):
-                    a, b = int(run[0]), int(run[-1]) + window
+                for a, b in zip(batch.column("a")[k].as_py(), batch.column("b")[k].as_py()):
+                    b += window
                     passage = b" ".join(own[a:b])
                     data = np.frombuffer(passage, np.uint8)
                     w = Words(data, np.array([0, len(data)]))
@@ -146,7 +144,7 @@ def _passages(rows: DataFrame, window: int, phrase: int, shards: int) -> DataFra
             if out:
                 yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64())))], names=["shard", "d", "start", "text", "anchors"])
 
-    return rows.select("d", "ps", "text").mapInArrow(find, "shard long, d long, start int, text string, anchors array<long>")
+    return rows.select("d", "a", "b", "text").mapInArrow(find, "shard long, d long, start int, text string, anchors array<long>")
 
 
 def _segments(rows: DataFrame, window: int, phrase: int) -> DataFrame:
@@ -238,7 +236,7 @@ class _Shard:
 
 
 def _stream(dealt: DataFrame, window: int) -> DataFrame:
-    """(d, t, starts): dealt has, for each group, its passages (kind 0) before its documents (kind 1)."""
+    """(d, t, runs): dealt has, for each group, its passages (kind 0) before its documents (kind 1)."""
 
     def find(batches):
         group, held, shard = None, [], None
@@ -261,15 +259,18 @@ def _stream(dealt: DataFrame, window: int) -> DataFrame:
                         hashes = w.hashes()
                     at = shard.repeats(hashes[w.first[k - i] : w.first[k - i + 1]], ds[k], starts[k])
                     if len(at):
-                        found.append((ds[k], ts[k], at.astype(np.int32).tobytes()))
+                        # runs of covered words, [first, end)
+                        cut = np.flatnonzero(np.diff(at) > window)
+                        runs = np.stack([at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)] + window], axis=1)
+                        found.append((ds[k], ts[k], runs.astype(np.int32).tobytes()))
             if found:
-                yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary()))], names=["d", "t", "starts"])
+                yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary()))], names=["d", "t", "runs"])
 
-    return dealt.mapInArrow(find, "d long, t long, starts binary")
+    return dealt.mapInArrow(find, "d long, t long, runs binary")
 
 
 def repeated_windows(docs: DataFrame, window: int = 20, scratch: Scratch | None = None) -> DataFrame:
-    """(d, t, starts): starts of each document's windows that also start earlier, as packed 32-bit integers."""
+    """(d, t, runs): words of each document in windows that also start earlier, as packed 32-bit [first, end)."""
     scratch = scratch or Scratch(docs.sparkSession, "repeats")
     phrase = max(1, window // 2)
     rows = _rows(docs)
@@ -288,16 +289,20 @@ def repeated_windows(docs: DataFrame, window: int = 20, scratch: Scratch | None
 
     windows = _candidate_windows(rows.join(beside(candidates, "hs").select("d", "t", "hs"), ["d", "t"]), window, phrase)
     first = windows.groupBy("w").agg(F.min(F.struct("d", "p", "t")).alias("f"), F.count("*").alias("n")).where("n > 1").select("f.*")
-    places = scratch.table(few(first.groupBy("d", "t").agg(F.collect_list("p").alias("ps"))), "places")
+    places = first.groupBy("d", "t").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    begin = F.filter("ps", lambda x, i: F.coalesce(F.get("ps", i - 1) < x - 1, F.lit(True)))
+    end = F.filter("ps", lambda x, i: F.coalesce(F.get("ps", i + 1) > x + 1, F.lit(True)))
+    places = scratch.table(few(places.select("d", "t", F.size("ps").alias("n"), begin.alias("a"), end.alias("b"))), "places")
     scratch.release()
-    total = places.agg(F.sum(F.size("ps"))).first()[0] or 0
+    total = places.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
-    passages = scratch.keep(_passages(rows.join(beside(places, "ps"), ["d", "t"]), window, phrase, shards))
+    passages = scratch.table(few(_passages(rows.join(beside(places, "a"), ["d", "t"]), window, phrase, shards)), "passages")
     routes = candidates.select("d", "t", F.explode("hs").alias("h")).join(passages.select("shard", F.explode("anchors").alias("h")).distinct(), "h")
-    routes = scratch.keep(routes.groupBy("d", "t").agg(F.collect_set(F.struct("h", "shard")).alias("to")))
-    segments = scratch.keep(_segments(rows.join(beside(routes, "to"), ["d", "t"]), window, phrase))
-    loads = segments.groupBy("shard").agg(F.ceil(F.sum(F.length("text")) / STREAM_CHARS).cast("int").alias("salts"))
-    loads = small(scratch.keep(loads))
+    routes = scratch.table(few(routes.groupBy("d", "t").agg(F.collect_set(F.struct("h", "shard")).alias("to"))), "routes")
+    scratch.release()
+    segments = _segments(rows.join(beside(routes, "to"), ["d", "t"]), window, phrase)
+    loads = routes.select(F.explode("to.shard").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / STREAM_ANCHORS).cast("int").alias("salts"))
+    loads = small(scratch.table(few(loads), "loads"))
     patterns = passages.join(loads, "shard").select(
         "shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "d", F.lit(0).cast("long").alias("t"), "start", "text"
     )
@@ -306,30 +311,30 @@ def repeated_windows(docs: DataFrame, window: int = 20, scratch: Scratch | None
     found = scratch.table(few(_stream(dealt, window)), "found")
     scratch.free()
     scratch.release()
-    return found.groupBy("d", "t").agg(F.collect_list("starts").alias("starts"))
+    return found.groupBy("d", "t").agg(F.collect_list("runs").alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, text]) of each row; text keeps the white space after kept words."""
     scratch = Scratch(docs.sparkSession, "repeats")
     spans = scratch.table(few(repeated_windows(docs, window, scratch)), "spans")
-    total = spans.agg(F.sum(F.aggregate("starts", F.lit(0), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
+    total = spans.agg(F.sum(F.aggregate("runs", F.lit(0), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
     joined = _rows(docs).join(F.broadcast(spans) if total <= 16 * BROADCAST_ROWS else spans, ["d", "t"], "left")
 
     def clean(batches):
         for batch in batches:
             out = []
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist()):
+            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
                 data = (text or "").encode()
                 own = data.split()
                 n = len(own)
-                if not starts:
+                if not runs:
                     out.append((n, 0, hashlib.sha256(b" ".join(own)).hexdigest(), text))
                     continue
-                at = np.frombuffer(b"".join(starts), np.int32)
+                at = np.frombuffer(b"".join(runs), np.int32)
                 steps = np.zeros(n + 1, np.int64)
-                np.add.at(steps, at, 1)
-                np.add.at(steps, at + window, -1)
+                np.add.at(steps, at[::2], 1)
+                np.add.at(steps, at[1::2], -1)
                 keep = np.cumsum(steps)[:-1] == 0
                 kept = [own[k] for k in np.flatnonzero(keep)]
                 if keep_text:
@@ -341,7 +346,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep_text: bool = False) -
             if out:
                 yield pa.record_batch(columns[: 5 if keep_text else 4], names=["doc_id", "n_words", "n_removed", "kept_sha256", "text"][: 5 if keep_text else 4])
 
-    cleaned = joined.select("d", "text", "starts").mapInArrow(clean, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text)
+    cleaned = joined.select("d", "text", "runs").mapInArrow(clean, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text)
     cleaned = cleaned if keep_text else few(cleaned)
     return cleaned.withColumn("doc_id", F.when(F.col("doc_id") != _FIRST, F.col("doc_id")))
 
