@@ -6,6 +6,7 @@ import functools
 
 from bindery.deploy import ship
 from bindery.llm.ann import op4_nearest_neighbours
+from bindery.llm.bpe import op10_duckdb_bpe
 from bindery.llm.host_quality import OP7_SQL, op7_host_quality
 from bindery.llm.language import op3_language_id
 from bindery.llm.license_scan import op2_license_scan
@@ -37,6 +38,7 @@ QUERIES = {
         op7_host_quality,
         op8_minhash_near_dedup,
         op9_repeated_passages,
+        op10_duckdb_bpe,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op7_host_quality": OP7_SQL}

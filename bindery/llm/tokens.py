@@ -41,8 +41,9 @@ def load(path: str):
 class PieceCache:
     """Encodes batches of texts to one flat id array and a count per text."""
 
-    def __init__(self, path: str):
-        self.tokenizer = load(path)
+    def __init__(self, encode):
+        """``encode`` gives (flat ids, ids per text) of a list of texts."""
+        self.encode_pieces = encode
         self.reset()
 
     def reset(self) -> None:
@@ -57,15 +58,14 @@ class PieceCache:
     def _add(self, pieces: list[str], known: dict[str, int], before: str) -> None:
         for i in range(0, len(pieces), 8192):
             part = pieces[i : i + 8192]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([before + x for x in part], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            n, m = int(sizes.sum()), len(part)
+            ids, sizes = self.encode_pieces([before + x for x in part])
+            n, m = len(ids), len(part)
             while self.used + n > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
             while self.count + m > len(self.starts):
                 self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
                 self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-            self.flat[self.used : self.used + n] = np.fromiter(itertools.chain.from_iterable(found), np.uint32, n)
+            self.flat[self.used : self.used + n] = ids
             self.sizes[self.count : self.count + m] = sizes
             self.starts[self.count : self.count + m] = self.used + np.cumsum(sizes) - sizes
             known.update(zip(part, range(self.count, self.count + m)))
@@ -138,4 +138,11 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 @functools.lru_cache(maxsize=4)
 def cache(path: str) -> PieceCache:
     """One per worker and vocabulary; workers are used again, and so are the pieces."""
-    return PieceCache(path)
+    tokenizer = load(path)
+
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    return PieceCache(encode)
