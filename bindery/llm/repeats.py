@@ -59,8 +59,8 @@ def window_anchors(w: Words, hashes: np.ndarray, window: int, phrase: int) -> tu
     return starts, _sliding(gram_hashes(hashes, phrase), window - phrase + 1, np.minimum)[starts]
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("d"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
+def _rows(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    return docs.select(*carry, F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("d"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
 
 
 def _anchors(rows: DataFrame, window: int, phrase: int) -> DataFrame:
@@ -314,12 +314,15 @@ def repeated_windows(docs: DataFrame, window: int = 20, scratch: Scratch | None
     return found.groupBy("d", "t").agg(F.collect_list("runs").alias("runs"))
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, text]) of each row; text keeps the white space after kept words."""
+def remove_repeats(docs: DataFrame, window: int = 20, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256[, text][, carry]) of each row; text keeps the white space after kept words.
+
+    ``carry`` names further columns of ``docs`` to pass on.
+    """
     scratch = Scratch(docs.sparkSession, "repeats")
     spans = scratch.table(few(repeated_windows(docs, window, scratch)), "spans")
     total = spans.agg(F.sum(F.aggregate("runs", F.lit(0), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
-    joined = _rows(docs).join(F.broadcast(spans) if total <= 16 * BROADCAST_ROWS else spans, ["d", "t"], "left")
+    joined = _rows(docs, carry).join(F.broadcast(spans) if total <= 16 * BROADCAST_ROWS else spans, ["d", "t"], "left")
 
     def clean(batches):
         for batch in batches:
@@ -344,9 +347,12 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep_text: bool = False) -
                 out.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), text))
             columns = [batch.column("d"), *(pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string())))] if out else []
             if out:
-                yield pa.record_batch(columns[: 5 if keep_text else 4], names=["doc_id", "n_words", "n_removed", "kept_sha256", "text"][: 5 if keep_text else 4])
+                names = ["doc_id", "n_words", "n_removed", "kept_sha256", "text"][: 5 if keep_text else 4]
+                yield pa.record_batch([*columns[: len(names)], *(batch.column(c) for c in carry)], names=[*names, *carry])
 
-    cleaned = joined.select("d", "text", "runs").mapInArrow(clean, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text)
+    cleaned = joined.select("d", "text", "runs", *carry).mapInArrow(
+        clean, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    )
     cleaned = cleaned if keep_text else few(cleaned)
     return cleaned.withColumn("doc_id", F.when(F.col("doc_id") != _FIRST, F.col("doc_id")))
 
