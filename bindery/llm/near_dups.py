@@ -182,10 +182,10 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Near, scra
 
     signed = nodes.select("node", "signature")
     close = pairs.join(signed.withColumnsRenamed({"node": "u", "signature": "su"}), "u").join(signed.withColumnsRenamed({"node": "v", "signature": "sv"}), "v")
-    close = scratch.keep(close.select("u", "v", "su", "sv").mapInArrow(near, "u long, v long"))
-    wanted = scratch.keep(close.select(F.col("u").alias("doc_id")).union(close.select("v")).distinct())
+    close = scratch.table(few(close.select("u", "v", "su", "sv").mapInArrow(near, "u long, v long")), f"{name}-close")
+    wanted = scratch.table(few(close.select(F.col("u").alias("doc_id")).union(close.select("v")).distinct()), f"{name}-wanted")
 
-    full = scratch.keep(_sets(docs, wanted, how).dropDuplicates(["node"]))
+    full = scratch.table(_sets(docs, wanted, how).dropDuplicates(["node"]), f"{name}-sets")
 
     def confirm(batches):
         for batch in batches:
@@ -199,7 +199,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Near, scra
             yield batch.select(["u", "v"]).filter(pa.array(hit, pa.bool_()))
 
     both = close.join(full.withColumnsRenamed({"node": "u", "shingles": "a"}), "u").join(full.withColumnsRenamed({"node": "v", "shingles": "b"}), "v")
-    links = scratch.table(both.select("u", "v", "a", "b").mapInArrow(confirm, "u long, v long"), f"{name}-links")
+    links = scratch.table(few(both.select("u", "v", "a", "b").mapInArrow(confirm, "u long, v long")), f"{name}-links")
     return links
 
 
@@ -222,16 +222,16 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
 
     pairs = members.where(F.col("node") != F.col("pivot")).where(_like("size", "pivot_size", how)).select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
     links = _linked(pairs, nodes, docs, how, scratch, "round1")
-    joined = scratch.table(components(links, scratch, "round1"), "components1")
+    joined = scratch.table(few(components(links, scratch, "round1")), "components1")
     open_members, k = members.select("key", "node", "size", F.lit(0).alias("own")), 1
     while True:
         k += 1
         now = open_members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("m")).where("a <> b").select("key", "m")
-        now = scratch.keep(now.join(mixed, "key"))
+        now = scratch.table(few(now.join(mixed, "key")), f"open{k}")
         if k == 2:
             # what a set has alone among all that are still compared bounds its similarity to any of them
-            own = scratch.table(_own(docs, scratch.keep(now.select(F.col("node").alias("doc_id")).distinct()), how), "own")
+            own = scratch.table(few(_own(docs, scratch.table(few(now.select(F.col("node").alias("doc_id")).distinct()), "open"), how)), "own")
             now = now.drop("own").join(own, "node", "left").fillna(0, ["own"])
         if k <= MERGING + 1:
             # a few pivots of each key, alike in all keys, meet all other components: most of these merge
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
             sizes = now.groupBy("key", "component").agg(F.count("*").alias("in_key"))
             order, most = Window.partitionBy("key").orderBy("in_key", "component", "node"), F.greatest(F.lit(32), F.floor(F.lit(KEY_PAIRS) / F.col("m")))
             ranked = now.join(sizes, ["key", "component"])
-        ranked = scratch.keep(ranked.withColumn("rank", F.row_number().over(order)).withColumn("pivot", F.col("rank") <= most).select("key", "node", "size", "own", "component", "rank", "pivot"))
+        ranked = scratch.table(few(ranked.withColumn("rank", F.row_number().over(order)).withColumn("pivot", F.col("rank") <= most).select("key", "node", "size", "own", "component", "rank", "pivot")), f"ranked{k}")
         p = ranked.where("pivot").select("key", F.col("node").alias("x"), F.col("size").alias("xs"), F.col("own").alias("xo"), F.col("component").alias("xc"), F.col("rank").alias("xr"))
         pairs = ranked.join(p, "key").where("component <> xc and rank > xr").where(_like("size", "xs", how, "own", "xo")).select(F.least("node", "x").alias("u"), F.greatest("node", "x").alias("v")).distinct()
         found = _linked(pairs, nodes, docs, how, scratch, f"round{k}")
@@ -250,12 +250,11 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
         rest = ranked.where("not pivot").select("key", "node", "size", "own")
         if found.head(1):
             links = links.unionByName(found)
-            joined = scratch.table(components(links, scratch, f"round{k}"), f"components{k}")
+            joined = scratch.table(few(components(links, scratch, f"round{k}")), f"components{k}")
         if not rest.head(1):
             break
         open_members = rest
-    of_set = scratch.table(nodes.join(joined, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component_id")), "sets")
-    scratch.free()
+    of_set = scratch.table(few(nodes.join(joined, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component_id"))), "sets")
     out = signed.select("doc_id", "n_shingles", "hi", "lo").join(of_set, ["hi", "lo"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

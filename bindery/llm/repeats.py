@@ -7,11 +7,12 @@ starts earlier (smaller doc_id, or same document and earlier start) is removed.
    anchors, so only windows with an anchor that recurs in the corpus can recur.
 2. Confirmation: hashes of just these windows are counted; those seen twice or more recur, each with
    its first place. Runs of first places in a document are the recurring passages.
-3. Automata: passages are dealt to shards by their document. A shard's automaton (pyahocorasick, over
-   word numbers) holds phrases of its passages at such distances that every window contains one.
-4. Streaming: each document goes to the shards whose passages share an anchor with it, in the parts
-   that hold such anchors (elsewhere it has no window to give). Around every phrase found there,
-   windows are confirmed against the shard's passages, and count unless they are the first place.
+3. Automata: the windows of an anchor belong to one shard, by the anchor's hash. A shard's automaton
+   (pyahocorasick, over word numbers) holds the first words of its anchors' phrases, one of which every
+   window contains, and beside it the shard's passages give its windows and their first places.
+4. Streaming: each document sends each shard the runs of windows around the shard's anchors (no others
+   can recur), so a window goes to one shard however many there are. Where the automaton finds a
+   phrase, the windows that hold it are confirmed, and count unless they are at the first place.
 
 Documents stream past an automaton one by one, so a task holds one shard and one batch; a shard that
 many documents share is dealt out again by salt. Word and window hashes have 64 bits.
@@ -24,8 +25,6 @@ Texts of fewer words than a window stay whole. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import struct
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +35,10 @@ from bindery.llm.common import BROADCAST_ROWS, Scratch, few, small, table
 from bindery.llm.tokens import ragged
 from bindery.llm.words import Words, gram_counts, gram_hashes, text_blocks
 
-#: Words of passages in a shard, and anchors of the documents that stream past one copy of its automaton, about.
-SHARD_WORDS, STREAM_ANCHORS = 400_000, 250_000
+#: Windows of passages in a shard, and anchors of the documents that stream past one copy of its automaton, about.
+SHARD_WINDOWS, STREAM_ANCHORS = 200_000, 400_000
+#: Words of an anchor's phrase that the automaton looks for.
+PATTERN_WORDS = 4
 _FIRST = -(2**63)
 
 
@@ -125,57 +126,55 @@ def _candidate_windows(rows: DataFrame, window: int, phrase: int) -> DataFrame:
     return rows.mapInArrow(find, "w long, d long, t long, p int")
 
 
-def _passages(rows: DataFrame, window: int, phrase: int, shards: int) -> DataFrame:
-    """(shard, d, start, text, anchors) of each run of windows, from the row's places a to b."""
+def _runs(rows: DataFrame, window: int, phrase: int, shards: int, first: bool) -> DataFrame:
+    """(shard, d, t, start, text): each run of windows with one anchor, by the shard of the anchor.
 
-    def find(batches):
-        for batch in batches:
-            out = []
-            ds = batch.column("d").to_pylist()
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                own = text.encode().split()
-                for a, b in zip(batch.column("a")[k].as_py(), batch.column("b")[k].as_py()):
-                    b += window
-                    passage = b" ".join(own[a:b])
-                    data = np.frombuffer(passage, np.uint8)
-                    w = Words(data, np.array([0, len(data)]))
-                    anchors = np.unique(window_anchors(w, w.hashes(), window, phrase)[1])
-                    out.append((zlib.crc32(struct.pack("<qq", ds[k], a >> 16)) % shards, ds[k], a, passage.decode(), anchors.astype(np.int64).tolist()))
-            if out:
-                yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64())))], names=["shard", "d", "start", "text", "anchors"])
-
-    return rows.select("d", "a", "b", "text").mapInArrow(find, "shard long, d long, start int, text string, anchors array<long>")
-
-
-def _segments(rows: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(shard, d, t, start, text): the parts of each document that each shard of its list ``to`` (h, shard) may know."""
+    The windows are those that start in the row's places a to b (``first``), or have an anchor of its list hs.
+    """
+    columns = ["a", "b"] if first else ["hs"]
 
     def find(batches):
         for batch in batches:
-            lists = batch.column("to")
+            lists = [batch.column(c) for c in columns]
             for i, j, data, offsets in text_blocks(batch.column("text")):
                 w = Words(data, offsets)
                 starts, anchor = window_anchors(w, w.hashes(), window, phrase)
                 at = np.concatenate([[0], np.cumsum(gram_counts(w.first, window))])
-                ds, ts = (batch.column(c).slice(i, j - i).to_pylist() for c in ("d", "t"))
-                out = []
+                hit = np.zeros(len(starts), bool)
                 for k in range(j - i):
-                    own = lists[i + k].values
-                    h, shard = (own.field(f).to_numpy() for f in ("h", "shard"))
-                    a, first = anchor[at[k] : at[k + 1]], int(w.first[k])
-                    for s in np.unique(shard):
-                        hit = np.flatnonzero(np.isin(a, h[shard == s].view(np.uint64)))
-                        for run in np.split(hit, np.flatnonzero(np.diff(hit) > window) + 1) if len(hit) else []:
-                            x, y = int(run[0]), int(run[-1]) + window - 1
-                            out.append((int(s), ds[k], ts[k], x, bytes(data[w.starts[first + x] : w.ends[first + y]]).decode()))
-                if out:
-                    yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()))], names=["shard", "d", "t", "start", "text"])
+                    if first:
+                        for x, y in zip(lists[0][i + k].values.to_numpy(), lists[1][i + k].values.to_numpy()):
+                            hit[at[k] + x : at[k] + y + 1] = True
+                    else:
+                        hit[at[k] : at[k + 1]] = np.isin(anchor[at[k] : at[k + 1]], lists[0][i + k].values.to_numpy().view(np.uint64))
+                starts, anchor = starts[hit], anchor[hit]
+                if not len(starts):
+                    continue
+                new = np.ones(len(starts), bool)
+                new[1:] = (starts[1:] != starts[:-1] + 1) | (anchor[1:] != anchor[:-1])
+                new |= np.isin(starts, w.first[:-1])
+                x = np.flatnonzero(new)
+                y = np.append(x[1:], len(starts)) - 1
+                doc = np.searchsorted(w.first, starts[x], "right") - 1
+                own = pa.array(doc + i)
+                begin, end = w.starts[starts[x]].tolist(), w.ends[starts[y] + window - 1].tolist()
+                whole = data.tobytes()
+                yield pa.record_batch(
+                    [
+                        pa.array((anchor[x] % np.uint64(shards)).astype(np.int64)),
+                        batch.column("d").take(own),
+                        batch.column("t").take(own),
+                        pa.array((starts[x] - w.first[doc]).astype(np.int32)),
+                        pa.array([whole[m:n] for m, n in zip(begin, end)], pa.binary()).cast(pa.string()),
+                    ],
+                    names=["shard", "d", "t", "start", "text"],
+                )
 
-    return rows.select("d", "t", "text", "to").mapInArrow(find, "shard long, d long, t long, start int, text string")
+    return rows.select("d", "t", "text", *columns).mapInArrow(find, "shard long, d long, t long, start int, text string")
 
 
 class _Shard:
-    """The automaton of a shard's passages, and their windows with first places."""
+    """The automaton of a shard's anchors, and its windows with their first places."""
 
     def __init__(self, passages: list[tuple[int, int, str]], window: int, phrase: int):
         import ahocorasick
@@ -190,18 +189,21 @@ class _Shard:
         self.width = max(1, -(-int(len(self.words)).bit_length() // 5))
         text = self._text(numbers.astype(np.int64) + 1)
         own = gram_counts(w.first, window)
-        starts = ragged(w.first[:-1], own)
+        starts, anchor = window_anchors(w, hashes, window, phrase)
         self.windows = gram_hashes(hashes, window)[starts]
         order = np.argsort(self.windows, kind="stable")
         self.windows = self.windows[order]
         self.d = np.repeat(np.array([x[0] for x in passages], np.int64), own)[order]
         self.p = (np.repeat(np.array([x[1] for x in passages], np.int64), own) + starts - np.repeat(w.first[:-1], own))[order]
-        self.window, self.phrase = window, phrase
+        self.window, self.size = window, min(phrase, PATTERN_WORDS)
+        # the place of its anchor in the last window of each passage, which all its windows hold
+        last = np.cumsum(own) - 1
+        grams = gram_hashes(hashes, phrase)
+        near = starts[last - own + 1][:, None] + np.arange(window - phrase + 1)
+        same = grams[near] == anchor[last][:, None]
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        stride, width = window - phrase + 1, self.width
-        for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
-            for k in range(a, b - phrase + 1, stride):
-                self.automaton.add_word(text[k * width : (k + phrase) * width])
+        for k in (near[same] * self.width).tolist():
+            self.automaton.add_word(text[k : k + self.size * self.width])
         self.automaton.make_automaton()
 
     def _text(self, numbers: np.ndarray) -> str:
@@ -214,57 +216,59 @@ class _Shard:
             out[:, j] = np.where(numbers > 0, 64 + 32 * j + (numbers >> 5 * j & 31), 32)
         return out.tobytes().decode("utf-32-le")
 
-    def repeats(self, hashes: np.ndarray, d: int, start: int) -> np.ndarray:
-        """Starts of the windows of these words of document ``d`` that a passage holds at another, first place."""
-        if len(hashes) < self.window:
-            return np.empty(0, np.int64)
+    def repeats(self, hashes: np.ndarray, first: np.ndarray, ds: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, start in its document) of the windows that a passage holds at another, first place.
+
+        Text k has the words first[k] to first[k + 1] of ``hashes`` and is word base[k] on of document ds[k].
+        """
+        starts = ragged(first[:-1], gram_counts(first, self.window))
         k = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         numbers = np.where(self.words[k] == hashes, k + 1, 0)
         last = np.fromiter((e for e, _ in self.automaton.iter(self._text(numbers))), np.int64) // self.width
-        if not len(last):
-            return last
-        # windows that hold a phrase ending at word e start from e - window + 1 to e - phrase + 1
-        near = np.zeros(len(hashes) - self.window + 2, np.int64)
-        np.add.at(near, np.clip(last - self.window + 1, 0, len(near) - 1), 1)
-        np.add.at(near, np.clip(last - self.phrase + 2, 0, len(near) - 1), -1)
-        starts = np.flatnonzero(np.cumsum(near)[:-1] > 0)
+        # windows that hold a phrase ending at word e start from e - window + 1 to e - size + 1
+        near = np.zeros(len(hashes) + 2, np.int64)
+        np.add.at(near, np.maximum(last - self.window + 1, 0), 1)
+        np.add.at(near, np.maximum(last - self.size + 2, 0), -1)
+        starts = starts[np.cumsum(near)[starts] > 0]
         found = gram_hashes(hashes, self.window)[starts]
         k = np.minimum(np.searchsorted(self.windows, found), len(self.windows) - 1)
         same = self.windows[k] == found
-        k, starts = k[same], starts[same] + start
-        return starts[(self.d[k] != d) | (self.p[k] != starts)]
+        k, starts = k[same], starts[same]
+        text = np.searchsorted(first, starts, "right") - 1
+        place = starts - first[text] + base[text]
+        later = (self.d[k] != ds[text]) | (self.p[k] != place)
+        return text[later], place[later]
 
 
-def _stream(dealt: DataFrame, window: int) -> DataFrame:
+def _stream(dealt: DataFrame, window: int, phrase: int) -> DataFrame:
     """(d, t, runs): dealt has, for each group, its passages (kind 0) before its documents (kind 1)."""
 
     def find(batches):
         group, held, shard = None, [], None
         for batch in batches:
-            key = batch.column("shard").to_pylist(), batch.column("salt").to_pylist()
-            kinds, ds, ts, starts = (batch.column(c).to_pylist() for c in ("kind", "d", "t", "start"))
-            found = []
+            shards, salts, kinds, ds, ts, starts = (batch.column(c).to_numpy() for c in ("shard", "salt", "kind", "d", "t", "start"))
             for i, j, data, offsets in text_blocks(batch.column("text")):
-                w = hashes = None
-                for k in range(i, j):
-                    if group != (key[0][k], key[1][k]):
-                        group, held, shard = (key[0][k], key[1][k]), [], None
-                    if kinds[k] == 0:
-                        held.append((ds[k], starts[k], bytes(data[offsets[k - i] : offsets[k - i + 1]]).decode()))
+                edge = np.flatnonzero((np.diff(shards[i:j]) != 0) | (np.diff(salts[i:j]) != 0) | (np.diff(kinds[i:j]) != 0)) + 1
+                for x, y in zip(np.append(0, edge).tolist(), np.append(edge, j - i).tolist()):
+                    if group != (shards[i + x], salts[i + x]):
+                        group, held, shard = (shards[i + x], salts[i + x]), [], None
+                    if kinds[i + x] == 0:
+                        own = data.tobytes()
+                        held += [(int(ds[i + k]), int(starts[i + k]), own[offsets[k] : offsets[k + 1]].decode()) for k in range(x, y)]
                         continue
                     if shard is None:
-                        shard, held = _Shard(held, window, max(1, window // 3)), []
-                    if w is None:
-                        w = Words(data, offsets)
-                        hashes = w.hashes()
-                    at = shard.repeats(hashes[w.first[k - i] : w.first[k - i + 1]], ds[k], starts[k])
-                    if len(at):
+                        if not held:
+                            continue
+                        shard, held = _Shard(held, window, phrase), []
+                    w = Words(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
+                    text, place = shard.repeats(w.hashes(), w.first, ds[i + x : i + y], starts[i + x : i + y])
+                    if len(text):
                         # runs of covered words, [first, end)
-                        cut = np.flatnonzero(np.diff(at) > window)
-                        runs = np.stack([at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)] + window], axis=1)
-                        found.append((ds[k], ts[k], runs.astype(np.int32).tobytes()))
-            if found:
-                yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary()))], names=["d", "t", "runs"])
+                        cut = np.flatnonzero((np.diff(text) != 0) | (np.diff(place) > window))
+                        a, b = np.append(0, cut + 1), np.append(cut, len(text) - 1)
+                        runs = np.stack([place[a], place[b] + window], axis=1).astype(np.int32)
+                        own = text[a] + i + x
+                        yield pa.record_batch([pa.array(ds[own]), pa.array(ts[own]), pa.array([r.tobytes() for r in runs], pa.binary())], names=["d", "t", "runs"])
 
     return dealt.mapInArrow(find, "d long, t long, runs binary")
 
@@ -277,38 +281,35 @@ def repeated_windows(docs: DataFrame, window: int = 20, scratch: Scratch | None
     anchors = scratch.keep(_anchors(rows, window, phrase))
     recurring = scratch.table(few(anchors.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")), "recurring")
     scratch.release()
-    own = anchors.join(small(recurring), "h").groupBy("d", "t").agg(F.collect_set("h").alias("hs"))
+    own = anchors.join(recurring, "h").groupBy("d", "t").agg(F.collect_set("h").alias("hs"))
     candidates = scratch.table(few(own), "candidates")
     anchors.unpersist()
     scratch.release()
-
-    def beside(df: DataFrame, column: str) -> DataFrame:
-        """With a broadcast hint if the lists in ``column`` hold few enough numbers in all."""
-        total = df.agg(F.sum(F.size(column))).first()[0] or 0
-        return F.broadcast(df) if total <= 4 * BROADCAST_ROWS else df
-
-    windows = _candidate_windows(rows.join(beside(candidates, "hs").select("d", "t", "hs"), ["d", "t"]), window, phrase)
-    first = windows.groupBy("w").agg(F.min(F.struct("d", "p", "t")).alias("f"), F.count("*").alias("n")).where("n > 1").select("f.*")
-    places = first.groupBy("d", "t").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    # the texts that hold a recurring anchor are dealt out once, and read three times
+    texts = scratch.table(rows.join(candidates, ["d", "t"]), "texts")
+    scratch.release()
+    windows = _candidate_windows(texts, window, phrase)
+    places = windows.groupBy("w").agg(F.min(F.struct("d", "p", "t")).alias("f"), F.count("*").alias("n")).where("n > 1").select("f.*")
+    places = places.groupBy("d", "t").agg(F.sort_array(F.collect_list("p")).alias("ps"))
     begin = F.filter("ps", lambda x, i: F.coalesce(F.get("ps", i - 1) < x - 1, F.lit(True)))
     end = F.filter("ps", lambda x, i: F.coalesce(F.get("ps", i + 1) > x + 1, F.lit(True)))
     places = scratch.table(few(places.select("d", "t", F.size("ps").alias("n"), begin.alias("a"), end.alias("b"))), "places")
     scratch.release()
-    total = places.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-total // SHARD_WORDS))
-    passages = scratch.table(few(_passages(rows.join(beside(places, "a"), ["d", "t"]), window, phrase, shards)), "passages")
-    routes = candidates.select("d", "t", F.explode("hs").alias("h")).join(passages.select("shard", F.explode("anchors").alias("h")).distinct(), "h")
-    routes = scratch.table(few(routes.groupBy("d", "t").agg(F.collect_set(F.struct("h", "shard")).alias("to"))), "routes")
-    scratch.release()
-    segments = _segments(rows.join(beside(routes, "to"), ["d", "t"]), window, phrase)
-    loads = routes.select(F.explode("to.shard").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / STREAM_ANCHORS).cast("int").alias("salts"))
+    shards = max(1, -(-(places.agg(F.sum("n")).first()[0] or 0) // SHARD_WINDOWS))
+    passages = _runs(texts.drop("hs").join(small(places), ["d", "t"]), window, phrase, shards, True)
+    segments = _runs(texts, window, phrase, shards, False)
+    # how often to deal a shard out again, by the anchors of its documents
+    loads = candidates.select(F.explode("hs").alias("h")).groupBy("h").count()
+    modulus = F.lit(shards).cast("decimal(20,0)")
+    unsigned = F.col("h").cast("decimal(20,0)") + F.when(F.col("h") < 0, F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))
+    loads = loads.groupBy((unsigned % modulus).cast("long").alias("shard")).agg(F.ceil(F.sum("count") / STREAM_ANCHORS).cast("int").alias("salts"))
     loads = small(scratch.table(few(loads), "loads"))
     patterns = passages.join(loads, "shard").select(
-        "shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "d", F.lit(0).cast("long").alias("t"), "start", "text"
+        "shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "d", "t", "start", "text"
     )
-    texts = segments.join(loads, "shard").select("shard", F.pmod(F.xxhash64("d", "t", "start"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "d", "t", "start", "text")
-    dealt = patterns.unionByName(texts).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    found = scratch.table(few(_stream(dealt, window)), "found")
+    salted = segments.join(loads, "shard").select("shard", F.pmod(F.xxhash64("d", "t", "start"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "d", "t", "start", "text")
+    dealt = patterns.unionByName(salted).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    found = scratch.table(few(_stream(dealt, window, phrase)), "found")
     scratch.free()
     scratch.release()
     return found.groupBy("d", "t").agg(F.collect_list("runs").alias("runs"))
