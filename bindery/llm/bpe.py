@@ -25,27 +25,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindery.llm.common import few, split_rows, table
-from bindery.llm.tokens import PieceCache
+from bindery.llm.tokens import PieceCache, ragged
 
-CHARS, WORDS, LONG = 2_000_000, 20_000, 1000
+#: Words kept per worker before the store starts anew.
+CACHE_WORDS = 800_000
+CHARS, WORDS, LONG = 4_000_000, 50_000, 200
 
-#: A state has each token's next position, the id that merging it with the next gives, and the word's
-#: best pair as id * 2 ** 24 + position. Ids are ranks.
+#: A state has each token's position and the word's best pair as id * 2 ** 20 + position * 2 ** 10 + next
+#: position. Ids are ranks, so the least number is the pair of least rank and leftmost of equals.
 ENCODE = """
 WITH RECURSIVE s AS (
-  SELECT word, pos, tok, mid, min(mid * 16777216 + pos) OVER (PARTITION BY word) AS best
-  FROM (SELECT word, pos, tok, (tok << 20) | lead(tok) OVER w AS key FROM bytes WINDOW w AS (PARTITION BY word ORDER BY pos))
+  SELECT word, pos, tok, min((mid << 20) | (pos << 10) | nx) OVER (PARTITION BY word) AS best
+  FROM (SELECT word, pos, tok, lead(pos) OVER w AS nx, (tok << 20) | lead(tok) OVER w AS key FROM bytes WINDOW w AS (PARTITION BY word ORDER BY pos))
   LEFT JOIN merges USING (key)
   UNION ALL
-  SELECT word, pos, tok, mid, min(mid * 16777216 + pos) OVER (PARTITION BY word) AS best
-  FROM (SELECT word, pos, tok, (tok << 20) | lead(tok) OVER w AS key
-        FROM (SELECT word, pos, CASE WHEN mid * 16777216 + pos = best THEN mid ELSE tok END AS tok,
-                     coalesce(lag(mid * 16777216 + pos) OVER (PARTITION BY word ORDER BY pos) = best, false) AS gone
-              FROM s WHERE best IS NOT NULL)
-        WHERE NOT gone WINDOW w AS (PARTITION BY word ORDER BY pos))
+  SELECT word, pos, tok, min((mid << 20) | (pos << 10) | nx) OVER (PARTITION BY word) AS best
+  FROM (SELECT word, pos, tok, lead(pos) OVER w AS nx, (tok << 20) | lead(tok) OVER w AS key
+        FROM (SELECT word, pos, CASE WHEN pos = ((best >> 10) & 1023) THEN best >> 20 ELSE tok END AS tok
+              FROM s WHERE best IS NOT NULL AND pos <> (best & 1023))
+        WINDOW w AS (PARTITION BY word ORDER BY pos))
   LEFT JOIN merges USING (key)
 )
-SELECT word, tok FROM s WHERE best IS NULL ORDER BY word, pos
+SELECT word, pos, tok FROM s WHERE best IS NULL
 """
 #: Bytes stand as characters from 256 on, since only strings are aggregated.
 DECODE = "SELECT text, string_agg(s, '' ORDER BY pos) AS s FROM ids JOIN vocabulary USING (id) GROUP BY text"
@@ -68,7 +69,8 @@ class DuckBpe:
         self._table("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int64()), "s": ["".join(chr(256 + b) for b in t) for t in ranks]}))
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         self.pattern = regex.compile(pattern)
-        self.words: dict[str, np.ndarray] = {}
+        self.words: dict[str, int] = {}
+        self.flat, self.sizes, self.starts = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
         self.cache = PieceCache(self._pieces)
 
     def _table(self, name: str, rows: pa.Table) -> None:
@@ -95,9 +97,10 @@ class DuckBpe:
             flat = np.frombuffer(b"".join(words[i] for i in own), np.uint8)
             word = np.repeat(np.arange(len(own), dtype=np.int32), sizes)
             pos = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-            found = self._run(ENCODE, "bytes", pa.table({"word": word, "pos": pos, "tok": self.byte_ids[flat]}))
+            found = self._run(ENCODE, "bytes", pa.table({"word": word, "pos": pos.astype(np.int64), "tok": self.byte_ids[flat]}))
+            order = np.argsort(found.column("word").to_numpy().astype(np.int64) << 10 | found.column("pos").to_numpy(), kind="stable")
             counts = np.bincount(found.column("word").to_numpy(), minlength=len(own))
-            for i, ids in zip(own, np.split(found.column("tok").to_numpy().astype(np.uint32), np.cumsum(counts)[:-1])):
+            for i, ids in zip(own, np.split(found.column("tok").to_numpy()[order].astype(np.uint32), np.cumsum(counts)[:-1])):
                 out[i] = ids
         return out
 
@@ -122,15 +125,21 @@ class DuckBpe:
         return np.array([ranks[x] for x in parts if x is not None], np.uint32)
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.words) > 600_000:
-            self.words.clear()
+        if len(self.words) > CACHE_WORDS:
+            self.words, self.flat, self.sizes = {}, np.empty(0, np.uint32), np.empty(0, np.int64)
         split = [self.pattern.findall(x) for x in pieces]
-        new = list(dict.fromkeys(w for own in split for w in own if w not in self.words))
-        self.words.update(zip(new, self.merge([w.encode() for w in new])))
-        own = [self.words[w] for x in split for w in x]
-        sizes = np.array([len(x) for x in own], np.int64)
-        bounds = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum([len(x) for x in split])])]
-        return np.concatenate(own) if own else np.empty(0, np.uint32), np.diff(bounds)
+        words = self.words
+        new = list(dict.fromkeys(w for own in split for w in own if w not in words))
+        if new:
+            found = self.merge([w.encode() for w in new])
+            words.update(zip(new, range(len(words), len(words) + len(new))))
+            self.flat = np.concatenate([self.flat, *found])
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, found), np.int64, len(found))])
+            self.starts = np.cumsum(self.sizes) - self.sizes
+        codes = np.fromiter((words[w] for own in split for w in own), np.int64)
+        sizes = self.sizes[codes]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])]
+        return self.flat[ragged(self.starts[codes], sizes)], np.diff(bounds)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids per text)."""

@@ -41,9 +41,9 @@ def load(path: str):
 class PieceCache:
     """Encodes batches of texts to one flat id array and a count per text."""
 
-    def __init__(self, encode):
-        """``encode`` gives (flat ids, ids per text) of a list of texts."""
-        self.encode_pieces = encode
+    def __init__(self, encode, lowers: bool = False):
+        """``encode`` gives (flat ids, ids per text) of a list of texts; ``lowers``: the same for A-Z as for a-z."""
+        self.encode_pieces, self.lowers = encode, lowers
         self.reset()
 
     def reset(self) -> None:
@@ -56,8 +56,8 @@ class PieceCache:
         self.hot: dict[str, int] = {}  # the most frequent of known, few enough for the processor's cache
 
     def _add(self, pieces: list[str], known: dict[str, int], before: str) -> None:
-        for i in range(0, len(pieces), 8192):
-            part = pieces[i : i + 8192]
+        for i in range(0, len(pieces), 65536):
+            part = pieces[i : i + 65536]
             ids, sizes = self.encode_pieces([before + x for x in part])
             n, m = len(ids), len(part)
             while self.used + n > len(self.flat):
@@ -111,7 +111,10 @@ class PieceCache:
         pieces: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            own = CUT.split(text or "") if ODD_SPACE.search(text or "") else (text or "").split(" ")
+            text = text or ""
+            if self.lowers:
+                text = text.encode().lower().decode()
+            own = CUT.split(text) if ODD_SPACE.search(text) else text.split(" ")
             if own[0] == "" and len(own) > 1:  # the text starts with a space
                 own[0] = " " + own.pop(1)
             heads.append(own[0])
@@ -145,4 +148,4 @@ def cache(path: str) -> PieceCache:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
-    return PieceCache(encode)
+    return PieceCache(encode, '"Lowercase"' in tokenizer.to_str()[:4096])
