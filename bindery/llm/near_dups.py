@@ -8,10 +8,11 @@ finds every such pair. So all pairs within the radius are guaranteed to share a
 confirmed on the full shingle sets.
 
 Documents of equal shingle sets are one node. Pairs within a key are never all emitted: a key's
-members are first compared with its smallest one; then only members that are in different
-components yet are compared, a bounded number of pivots per key and round, until no key holds an
-unchecked pair across components. Shingles that a document has alone among these bound its similarity
-to any other from above, which settles most pairs of a large group of loose copies without a look. No key, group or pair is capped or dropped.
+members are first compared with its smallest one, then a few more pivots with the members of other
+components, and what is left in different components meets in blocks, whose tasks return links
+alone. Shingles that a document has alone among these bound its similarity to any other from above,
+which settles most pairs of a large group of loose copies without a look. No key, group or pair is
+capped or dropped.
 
 Nulls: a null text, or one without words, has an empty set and no links. A null doc_id is linked with
 nothing and kept. Rows of one doc_id count as one document. An empty table gives no rows. Other
@@ -53,10 +54,8 @@ class Near:
         return np.array_split(np.arange(self.positions), self.radius // 2 + 1)
 
 
-#: Rounds with few pivots per key before the rounds with many, and the pivots of a key in each.
-MERGING, MERGING_PIVOTS = 1, 8
-#: Pairs of pivots and members that one key may yield in one round.
-KEY_PAIRS = 2_000_000
+#: Pivots of a key that meet the other components of the key before the rest is compared in blocks, and nodes of a block.
+PIVOTS, BLOCK = 8, 256
 
 _RNG = np.random.default_rng(8)
 _XOR = _RNG.integers(0, 2**63, 1024, dtype=np.uint64)
@@ -208,6 +207,56 @@ def _like(a: str, b: str, how: Near, own_a: str = "0", own_b: str = "0"):
     return F.expr(f"100L * least({a} - {own_a}, {b} - {own_b}) >= {how.percent}L * greatest({a} + {own_b}, {b} + {own_a})")
 
 
+def _unsettled(members: DataFrame, joined: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``members`` (key, node, ...) of the keys that hold several components, with their components."""
+    now = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    return scratch.table(few(now.join(mixed, "key")), name)
+
+
+def _blocks(members: DataFrame, nodes: DataFrame, docs: DataFrame, how: Near, scratch: Scratch) -> DataFrame:
+    """The links (u, v) between components among ``members`` (key, node, size, own, component), a written table.
+
+    Nodes that keys connect, in one step or several, are dealt to blocks; each two blocks meet in one task, which
+    compares bounds, signatures and full sets there and returns links alone. So a family of m loose copies that are
+    no near duplicates costs m * m / BLOCK rows rather than a row a pair.
+    """
+    edges = members.groupBy("key").agg(F.min("node").alias("v")).join(members.select("key", F.col("node").alias("u")), "key").select("u", "v").distinct()
+    families = scratch.table(few(components(edges, scratch, "families")), "families").select("node", F.col("component").alias("family"))
+    one = members.groupBy("node").agg(F.first("size").alias("size"), F.first("own").alias("own"), F.first("component").alias("component"))
+    wanted = scratch.table(few(families.select(F.col("node").alias("doc_id"))), "blocks-wanted")
+    sets = _sets(docs, wanted, how).dropDuplicates(["node"])
+    counts = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    full = one.join(families, "node").join(small(scratch.table(few(counts), "blocks-counts")), "family").join(nodes.select("node", "signature"), "node").join(sets, "node")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    full = full.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = full.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        node, size, own, component, block = (t.column(c).to_numpy().astype(np.int64) for c in ("node", "size", "own", "component", "block"))
+        left, right = (np.flatnonzero(block == t.column(c)[0].as_py()) for c in ("i", "j"))
+        signature = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16).reshape(-1, how.positions)
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        out: list[tuple[int, int]] = []
+        for x in left:
+            y = right[(component[right] != component[x]) & (node[right] > node[x] if left[0] == right[0] else True)]
+            shared = np.minimum(size[y] - own[y], size[x] - own[x])
+            y = y[100 * shared >= how.percent * np.maximum(size[y] + own[x], size[x] + own[y])]
+            y = y[(signature[y] != signature[x]).sum(axis=1) <= how.radius]
+            for k in y:
+                both = np.concatenate([sets[x], sets[k]])
+                both.sort()
+                n = int((both[1:] == both[:-1]).sum())
+                if 100 * n >= how.percent * (len(both) - n):
+                    out.append((node[x], node[k]))
+        return pa.table([pa.array([min(r) for r in out], pa.int64()), pa.array([max(r) for r in out], pa.int64())], names=["u", "v"])
+
+    columns = ["family", "i", "j", "block", "node", "size", "own", "component", "signature", "shingles"]
+    found = dealt.select(*columns).groupBy("family", "i", "j").applyInArrow(compare, "u long, v long")
+    return scratch.table(few(found), "blocks-links")
+
+
 def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "near")
@@ -223,37 +272,19 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
     pairs = members.where(F.col("node") != F.col("pivot")).where(_like("size", "pivot_size", how)).select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
     links = _linked(pairs, nodes, docs, how, scratch, "round1")
     joined = scratch.table(few(components(links, scratch, "round1")), "components1")
-    open_members, k = members.select("key", "node", "size", F.lit(0).alias("own")), 1
-    while True:
-        k += 1
-        now = open_members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("m")).where("a <> b").select("key", "m")
-        now = scratch.table(few(now.join(mixed, "key")), f"open{k}")
-        if k == 2:
-            # what a set has alone among all that are still compared bounds its similarity to any of them
-            own = scratch.table(few(_own(docs, scratch.table(few(now.select(F.col("node").alias("doc_id")).distinct()), "open"), how)), "own")
-            now = now.drop("own").join(own, "node", "left").fillna(0, ["own"])
-        if k <= MERGING + 1:
-            # a few pivots of each key, alike in all keys, meet all other components: most of these merge
-            order, most = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(k)), "node"), F.lit(MERGING_PIVOTS)
-            ranked = now
-        else:
-            # then all members of all components but a key's largest meet the other components
-            sizes = now.groupBy("key", "component").agg(F.count("*").alias("in_key"))
-            order, most = Window.partitionBy("key").orderBy("in_key", "component", "node"), F.greatest(F.lit(32), F.floor(F.lit(KEY_PAIRS) / F.col("m")))
-            ranked = now.join(sizes, ["key", "component"])
-        ranked = scratch.table(few(ranked.withColumn("rank", F.row_number().over(order)).withColumn("pivot", F.col("rank") <= most).select("key", "node", "size", "own", "component", "rank", "pivot")), f"ranked{k}")
-        p = ranked.where("pivot").select("key", F.col("node").alias("x"), F.col("size").alias("xs"), F.col("own").alias("xo"), F.col("component").alias("xc"), F.col("rank").alias("xr"))
-        pairs = ranked.join(p, "key").where("component <> xc and rank > xr").where(_like("size", "xs", how, "own", "xo")).select(F.least("node", "x").alias("u"), F.greatest("node", "x").alias("v")).distinct()
-        found = _linked(pairs, nodes, docs, how, scratch, f"round{k}")
-        # a pivot has met all others of its key that it wasn't joined with, so it is done there
-        rest = ranked.where("not pivot").select("key", "node", "size", "own")
-        if found.head(1):
-            links = links.unionByName(found)
-            joined = scratch.table(few(components(links, scratch, f"round{k}")), f"components{k}")
-        if not rest.head(1):
-            break
-        open_members = rest
+    # a few pivots of each key, alike in all keys, meet the other components: most of what belongs together merges
+    unsettled = _unsettled(members.select("key", "node", "size"), joined, scratch, "open1")
+    own = scratch.table(few(_own(docs, scratch.table(few(unsettled.select(F.col("node").alias("doc_id")).distinct()), "open"), how)), "own")
+    now = unsettled.join(own, "node", "left").fillna(0, ["own"])
+    order = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
+    ranked = scratch.table(few(now.withColumn("rank", F.row_number().over(order))), "ranked")
+    p = ranked.where(F.col("rank") <= PIVOTS).select("key", F.col("node").alias("x"), F.col("size").alias("xs"), F.col("own").alias("xo"), F.col("component").alias("xc"), F.col("rank").alias("xr"))
+    pairs = ranked.join(p, "key").where("component <> xc and rank > xr").where(_like("size", "xs", how, "own", "xo")).select(F.least("node", "x").alias("u"), F.greatest("node", "x").alias("v")).distinct()
+    links = links.unionByName(_linked(pairs, nodes, docs, how, scratch, "round2"))
+    joined = scratch.table(few(components(links, scratch, "round2")), "components2")
+    # the rest in blocks
+    links = links.unionByName(_blocks(_unsettled(ranked.select("key", "node", "size", "own"), joined, scratch, "open2"), nodes, docs, how, scratch))
+    joined = scratch.table(few(components(links, scratch, "round3")), "components3")
     of_set = scratch.table(few(nodes.join(joined, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component_id"))), "sets")
     out = signed.select("doc_id", "n_shingles", "hi", "lo").join(of_set, ["hi", "lo"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
