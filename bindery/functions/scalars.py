@@ -85,7 +85,7 @@ def format_file_path(template: str, entries: Column, file_path, separator: str =
     """A book's path below the root: the filled template and the file's extension, made safe, segments trimmed."""
     full = F.concat(F.lit("root" + separator), map_format(template, entries), extension(file_path))
     parts = F.split(filesystem_safe(full, separator), "\\\\" if separator == "\\" else separator)
-    return F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), F.trim), separator)
+    return F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), lambda x: F.trim(x)), separator)
 
 
 def sort_author(author) -> Column:
@@ -103,7 +103,7 @@ def map_get(entries: Column, key, default=None) -> Column:
 
 
 def split_subjects(text) -> Column:
-    return F.transform(F.split(_lit(text), ","), F.trim)
+    return F.transform(F.split(_lit(text), ","), lambda x: F.trim(x))
 
 
 def join_subjects(subjects: Column) -> Column:
