@@ -373,10 +373,12 @@ def css_rules(t):
     return css.css_rules(css.css_nodes(_sheets(t), "doc_id", "css"))
 
 
-@query()
+@query(r"""
+SELECT page_id::VARCHAR AS sheet_id, regexp_extract(html, '<style>[^{]*\{(margin:[^;}]*)', 1) || ';' AS text FROM pages WHERE regexp_matches(html, '<style>[^{]*\{margin:')
+""")
 def css_find_property(t):
     nodes = css.css_nodes(_sheets(t), "doc_id", "css")
-    return css.css_find(nodes, F.col("name") == "color", ("property",)).select("sheet_id", "node_no", "text")
+    return css.css_find(nodes, F.col("name") == "margin", ("property",)).select("sheet_id", "text")
 
 
 @query()

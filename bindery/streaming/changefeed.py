@@ -18,23 +18,22 @@ from pyspark.sql import functions as F
 def replay(changes: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
     """The state (key, columns, is_local, is_remote) after all changes, as one aggregation by key.
 
-    Resets are spread to keys as the sequence number of the last one, one row in all.
+    Remote resets, a short list, are one row that joins the changes of every key in their place.
     """
-    reset = changes.where("op = 'X' and source = 'remote'").agg(F.max("seq").alias("_reset"))
-    own = changes.where("op <> 'X'").join(F.broadcast(reset))
-    events = own.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("seq", "source", "op", F.struct(*columns).alias("row")))).alias("_events"), F.max("_reset").alias("_reset"))
+    event = F.struct("seq", "source", "op", F.struct(*columns).alias("row"))
+    resets = changes.where("op = 'X' and source = 'remote'").agg(F.collect_list(event).alias("_resets"))
+    own = changes.where("op <> 'X'").groupBy(key).agg(F.collect_list(event).alias("_events"))
+    events = own.join(F.broadcast(resets)).withColumn("_events", F.sort_array(F.concat("_events", "_resets")))
     row_type = f"struct<{', '.join(f'`{c}`:{changes.schema[c].dataType.simpleString()}' for c in columns)}>"
     start = F.struct(F.lit(False).alias("l"), F.lit(False).alias("r"), F.lit(None).cast(row_type).alias("row"))
 
     def step(state, e):
-        remote = e["source"] == "remote"
-        undone = remote & F.col("_reset").isNotNull() & (e["seq"] < F.col("_reset"))
-        was_remote = state["r"]
-        add, gone = e["op"] == "A", e["op"] == "R"
-        left = F.when(~remote & add, True).when(~remote & gone, False).otherwise(state["l"])
-        right = F.when(undone, False).when(remote & add, True).when(remote & gone, False).otherwise(was_remote)
-        there = state["l"] | was_remote
-        row = F.when(add & ~there, e["row"]).when((e["op"] == "U") & there, e["row"]).otherwise(state["row"])
+        remote, op = e["source"] == "remote", e["op"]
+        there = state["l"] | state["r"]
+        gone = op.isin("R", "X")
+        left = F.when(~remote & (op == "A"), True).when(~remote & gone, False).otherwise(state["l"])
+        right = F.when(remote & (op == "A"), True).when(remote & gone, False).otherwise(state["r"])
+        row = F.when((op == "A") & ~there | (op == "U") & there, e["row"]).otherwise(state["row"])
         return F.struct(left.alias("l"), right.alias("r"), F.when(left | right, row).alias("row"))
 
     final = events.withColumn("_s", F.aggregate("_events", start, step)).where("_s.l or _s.r")
