@@ -61,7 +61,7 @@ def window_anchors(w: Words, hashes: np.ndarray, window: int, phrase: int) -> tu
 
 
 def _rows(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    return docs.select(*carry, F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("d"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
+    return docs.select(*[F.col(f"`{c}`").alias(f"_carried{i}") for i, c in enumerate(carry)], F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("d"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
 
 
 def _anchors(rows: DataFrame, window: int, phrase: int) -> DataFrame:
@@ -322,6 +322,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep_text: bool = False, c
     scratch = Scratch(docs.sparkSession, "repeats")
     spans = scratch.table(few(repeated_windows(docs, window, scratch)), "spans")
     total = spans.agg(F.sum(F.aggregate("runs", F.lit(0), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
+    held = [f"_carried{i}" for i in range(len(carry))]
     joined = _rows(docs, carry).join(F.broadcast(spans) if total <= 16 * BROADCAST_ROWS else spans, ["d", "t"], "left")
 
     def clean(batches):
@@ -348,13 +349,14 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep_text: bool = False, c
             columns = [batch.column("d"), *(pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string())))] if out else []
             if out:
                 names = ["doc_id", "n_words", "n_removed", "kept_sha256", "text"][: 5 if keep_text else 4]
-                yield pa.record_batch([*columns[: len(names)], *(batch.column(c) for c in carry)], names=[*names, *carry])
+                yield pa.record_batch([*columns[: len(names)], *(batch.column(c) for c in held)], names=[*names, *held])
 
-    cleaned = joined.select("d", "text", "runs", *carry).mapInArrow(
-        clean, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    cleaned = joined.select("d", "text", "runs", *held).mapInArrow(
+        clean, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text + "".join(f", {h} {docs.schema[c].dataType.simpleString()}" for h, c in zip(held, carry))
     )
     cleaned = cleaned if keep_text else few(cleaned)
-    return cleaned.withColumn("doc_id", F.when(F.col("doc_id") != _FIRST, F.col("doc_id")))
+    names = ["n_words", "n_removed", "kept_sha256", "text"][: 4 if keep_text else 3]
+    return cleaned.select(F.when(F.col("doc_id") != _FIRST, F.col("doc_id")).alias("doc_id"), *names, *[F.col(h).alias(c) for h, c in zip(held, carry)])
 
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
