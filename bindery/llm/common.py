@@ -91,11 +91,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def few(df: DataFrame) -> DataFrame:
-    """``df``, whose rows are narrow, in as few parts as the session's advisory size asks for.
+    """``df``, whose rows are narrow, in as few parts as the session's advisory size asks for, and an eighth of its
+    shuffle partitions at most.
 
     A long stage over texts then leaves its small results in a few files instead of one a task.
     """
-    return df.hint("rebalance")
+    return df.hint("rebalance").coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
 def split_rows(lengths, most: int):

@@ -184,7 +184,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Near, scra
     close = scratch.table(few(close.select("u", "v", "su", "sv").mapInArrow(near, "u long, v long")), f"{name}-close")
     wanted = scratch.table(few(close.select(F.col("u").alias("doc_id")).union(close.select("v")).distinct()), f"{name}-wanted")
 
-    full = scratch.table(_sets(docs, wanted, how).dropDuplicates(["node"]), f"{name}-sets")
+    full = scratch.table(few(_sets(docs, wanted, how).dropDuplicates(["node"])), f"{name}-sets")
 
     def confirm(batches):
         for batch in batches:

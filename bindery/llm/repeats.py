@@ -323,7 +323,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep_text: bool = False, c
     spans = scratch.table(few(repeated_windows(docs, window, scratch)), "spans")
     total = spans.agg(F.sum(F.aggregate("runs", F.lit(0), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
     held = [f"_carried{i}" for i in range(len(carry))]
-    joined = _rows(docs, carry).join(F.broadcast(spans) if total <= 16 * BROADCAST_ROWS else spans, ["d", "t"], "left")
+    joined = _rows(docs, carry).join(F.broadcast(spans) if total <= BROADCAST_ROWS else spans, ["d", "t"], "left")
 
     def clean(batches):
         for batch in batches:
