@@ -108,3 +108,38 @@ def scan_licenses(docs: DataFrame, coverage: float = 0.75) -> DataFrame:
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+_PHRASES = ", ".join(f"({n}, '{label}', {str(base).lower()}, '{phrase}')" for n, (label, base, phrase) in enumerate((label, base, p) for base, kinds in ((True, BASE), (False, TEMPLATES)) for label, ps in kinds.items() for p in ps))
+_COMMON = ", ".join(f"'{w}'" for w in COMMON)
+
+OP2_SQL = rf"""
+WITH t AS (
+  SELECT template, label, base, string_split(phrase, ' ') AS tw FROM (VALUES {_PHRASES}) AS v(template, label, base, phrase)
+), tw AS (
+  SELECT template, label, base, len(tw) AS size, unnest(tw) AS word, generate_subscripts(tw, 1) - 1 AS j FROM t
+), seeds AS (
+  SELECT a.template, a.j, a.word AS a, b.word AS b FROM tw a JOIN tw b ON a.template = b.template AND b.j = a.j + 1 WHERE NOT (a.word IN ({_COMMON}) AND b.word IN ({_COMMON}))
+), d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), w AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d
+), votes AS (
+  SELECT DISTINCT w.doc_id, seeds.template, w.i - seeds.j AS diagonal
+  FROM (SELECT doc_id, i, word, lead(word) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM w) w JOIN seeds ON seeds.a = w.word AND seeds.b = w.following
+), islands AS (
+  SELECT *, sum(CASE WHEN size >= 6 AND step <= 3 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span
+  FROM (SELECT v.*, s.size, s.label, s.base, diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS step
+        FROM votes v JOIN (SELECT DISTINCT template, label, base, size FROM tw) s USING (template))
+), spans AS (
+  SELECT i.doc_id, i.template, i.span, any_value(i.label) AS label, any_value(i.base) AS base, min(i.diagonal) AS first_word, count(DISTINCT tw.j) / any_value(i.size) AS coverage, any_value(i.size) AS size
+  FROM islands i JOIN tw ON tw.template = i.template JOIN w ON w.doc_id = i.doc_id AND w.i = i.diagonal + tw.j AND w.word = tw.word GROUP BY i.doc_id, i.template, i.span
+), found AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(first_word) FILTER (base) AS first_word, max(first_word) FILTER (base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score
+  FROM spans WHERE coverage = 1 OR size >= 6 AND coverage >= 0.75 GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN found f ON d.doc_id = f.doc_id
+"""

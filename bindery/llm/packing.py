@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import Scratch, split_rows, table
-from bindery.llm.tokens import cache
+from bindery.llm.common import Scratch, few, split_rows, table
+from bindery.llm.tokens import CACHE_PIECES, cache
 
 CHARS = 4_000_000
 #: Pieces in a salted group, about.
@@ -48,11 +48,11 @@ class Capacity:
         return np.array([self.tokens, self.documents or self.tokens, self.attention or self.tokens**2], np.int64)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int = 0, keep_ids: bool = False, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of ``docs``; only texts of over ``length`` ids are cut."""
 
     def pieces(batches):
-        encoder = cache(tokenizer)
+        encoder = cache(tokenizer, cache_pieces)
         for batch in batches:
             doc_ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for i, j in split_rows([len(x or "") for x in texts], CHARS):
@@ -178,10 +178,14 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
     return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: Capacity = Capacity(), keep_ids: bool = False) -> DataFrame:
-    """Encodes, cuts and packs ``docs``; keep_ids adds each piece's ids (little-endian unsigned 32-bit)."""
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: Capacity = Capacity(), keep_ids: bool = False, cache_pieces: int = CACHE_PIECES) -> DataFrame:
+    """Encodes, cuts and packs ``docs``; keep_ids adds each piece's ids (little-endian unsigned 32-bit).
+
+    ``cache_pieces`` bounds the table of encoded pieces in each worker, some 300 bytes apiece.
+    """
     scratch = Scratch(docs.sparkSession, "pack")
-    return pack(scratch.table(token_pieces(docs, tokenizer, capacity.tokens, keep_ids=keep_ids), "pieces"), capacity)
+    pieces = token_pieces(docs, tokenizer, capacity.tokens, keep_ids=keep_ids, cache_pieces=cache_pieces)
+    return pack(scratch.table(pieces if keep_ids else few(pieces), "pieces"), capacity)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,11 @@ from bindery.llm.ann import op4_nearest_neighbours
 from bindery.llm.bpe import op10_duckdb_bpe
 from bindery.llm.host_quality import OP7_SQL, op7_host_quality
 from bindery.llm.language import op3_language_id
-from bindery.llm.license_scan import op2_license_scan
+from bindery.llm.license_scan import OP2_SQL, op2_license_scan
 from bindery.llm.line_dedup import OP6_SQL, op6_line_dedup
-from bindery.llm.near_dups import op8_minhash_near_dedup
+from bindery.llm.near_dups import OP8_SQL, op8_minhash_near_dedup
 from bindery.llm.packing import op5_best_fit_packing
-from bindery.llm.repeats import op9_repeated_passages
+from bindery.llm.repeats import OP9_SQL, op9_repeated_passages
 from bindery.llm.token_files import op1_token_files
 
 
@@ -41,4 +41,10 @@ QUERIES = {
         op10_duckdb_bpe,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op7_host_quality": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": OP2_SQL,
+    "op6_line_dedup": OP6_SQL,
+    "op7_host_quality": OP7_SQL,
+    "op8_minhash_near_dedup": OP8_SQL,
+    "op9_repeated_passages": OP9_SQL,
+}

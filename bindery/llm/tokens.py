@@ -41,9 +41,9 @@ def load(path: str):
 class PieceCache:
     """Encodes batches of texts to one flat id array and a count per text."""
 
-    def __init__(self, encode, lowers: bool = False):
+    def __init__(self, encode, lowers: bool = False, most: int = CACHE_PIECES):
         """``encode`` gives (flat ids, ids per text) of a list of texts; ``lowers``: the same for A-Z as for a-z."""
-        self.encode_pieces, self.lowers = encode, lowers
+        self.encode_pieces, self.lowers, self.most = encode, lowers, most
         self.reset()
 
     def reset(self) -> None:
@@ -105,7 +105,7 @@ class PieceCache:
             gc.enable()
 
     def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        if self.count > CACHE_PIECES or self.used > 16 * CACHE_PIECES:
+        if self.count > self.most or self.used > 16 * self.most:
             self.reset()
         heads: list[str] = []
         pieces: list[str] = []
@@ -139,8 +139,8 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=4)
-def cache(path: str) -> PieceCache:
-    """One per worker and vocabulary; workers are used again, and so are the pieces."""
+def cache(path: str, most: int = CACHE_PIECES) -> PieceCache:
+    """One per worker and vocabulary, of about ``most`` pieces; workers are used again, and so are the pieces."""
     tokenizer = load(path)
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -148,4 +148,4 @@ def cache(path: str) -> PieceCache:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
-    return PieceCache(encode, '"Lowercase"' in tokenizer.to_str()[:4096])
+    return PieceCache(encode, '"Lowercase"' in tokenizer.to_str()[:4096], most)
