@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bindery.operators.reconcile import allocate_ids
+
 
 def slice_ends(df: DataFrame, group: str, start: str, total: str | None = None) -> DataFrame:
     """``end`` of each slice: the next start of its group, or ``total`` for the last."""
@@ -41,9 +43,13 @@ def fold_unnamed(df: DataFrame, group: str, order: str, name: str, content: str,
 
 
 def renumber(df: DataFrame, group: str | None, order: str | list[str], width: int = 10, prefix: str = "", suffix: str = "", name: str = "new_id", start: int = 1) -> DataFrame:
-    """Numbers in order, padded with zeros to ``width``."""
-    w = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(order)
-    return df.withColumn(name, F.concat(F.lit(prefix), F.lpad((F.row_number().over(w) + start - 1).cast("string"), width, "0"), F.lit(suffix)))
+    """Numbers in order within each group, or over all rows (then by ranges), padded with zeros to ``width``."""
+    if group is None:
+        numbered = allocate_ids(df, start - 1, *([order] if isinstance(order, str) else order), key="_number")
+        number = F.col("_number")
+    else:
+        numbered, number = df, F.row_number().over(Window.partitionBy(group).orderBy(order)) + start - 1
+    return numbered.withColumn(name, F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0"), F.lit(suffix))).drop("_number")
 
 
 def toc_asof(lookups: DataFrame, elements: DataFrame, group: str, position: str, at: str, payload: list[str]) -> DataFrame:

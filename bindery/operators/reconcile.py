@@ -148,3 +148,40 @@ def display_grid(df: DataFrame, hidden: list[str] = (), sort: str | None = None,
 def device_volumes(disks: DataFrame, disk_partitions: DataFrame, partition_volumes: DataFrame, vendor: str = "VEN_KINDLE") -> DataFrame:
     """Volumes of the disks whose device id holds the vendor mark: disk (disk_id), links (disk_id, partition_id), (partition_id, volume)."""
     return disks.where(F.col("disk_id").contains(vendor)).join(disk_partitions, "disk_id").join(partition_volumes, "partition_id")
+
+
+# ------------------------------------------------------------------ plans of whole operations
+
+
+def transfer_plan(books: DataFrame, selected: DataFrame, catalog: DataFrame, existing_files: DataFrame, device: bool = True) -> DataFrame:
+    """The import plan for the selected books (id), to a device or from it."""
+    return import_actions(books.join(selected.select("id"), "id", "left_semi"), catalog, existing_files, device)
+
+
+def bulk_import_plan(files: DataFrame, catalog: DataFrame, accepted: tuple[str, ...] = (".mobi", ".azw", ".azw3", ".epub")) -> tuple[DataFrame, DataFrame]:
+    """(plan, errors) for files (path): those of other formats are errors, paths already in the catalog too."""
+    from bindery.functions.scalars import extension
+
+    known = extension(F.col("path")).isin(*accepted)
+    plan = local_import_plan(files.where(known), catalog)
+    refused = plan.where("action = 'reject'").select(F.col("path").alias("item"), F.lit("the path is in the library").alias("error"))
+    other = files.where(~known).select(F.col("path").alias("item"), F.concat(F.lit("no reader for "), extension(F.col("path"))).alias("error"))
+    return plan.where("action <> 'reject'"), refused.unionByName(other)
+
+
+def update_metadata_plan(books: DataFrame, donors: DataFrame, columns: list[str], destination: Column, source: str = "file_path") -> tuple[DataFrame, DataFrame]:
+    """(rows, moves): the books that a donor has, with its columns, and those whose path the template now puts elsewhere."""
+    changed = propagate_metadata(books.join(donors.select("id"), "id", "left_semi"), donors, columns)
+    return changed, reorganize_plan(changed, destination, source)
+
+
+def delete_plan(library: DataFrame, ids: DataFrame, source: str = "file_path") -> tuple[DataFrame, DataFrame]:
+    """(files to remove, errors): ids that the library lacks are errors; a file that is missing already is none."""
+    gone = library.join(ids.select("id"), "id", "left_semi").select("id", F.lit("delete").alias("action"), F.col(source).alias("src_path"))
+    absent = ids.select("id").join(library.select("id"), "id", "left_anti")
+    return gone, absent.select(F.col("id").cast("string").alias("item"), F.lit("no such id").alias("error"))
+
+
+def error_summary(errors: DataFrame) -> DataFrame:
+    """(error, n, items): what went wrong, how often, and a first item."""
+    return errors.groupBy("error").agg(F.count("*").alias("n"), F.min("item").alias("first_item"))

@@ -239,3 +239,26 @@ def test_html(spark):
     H.register(spark)
     docs.createOrReplaceTempView("docs")
     assert spark.sql("SELECT n.tag FROM docs, LATERAL html_nodes(html) n").count() == 3
+
+
+def test_plans_and_settings(spark, tmp_path):
+    from bindery import config
+
+    books = spark.createDataFrame([(1, "a.mobi", "A"), (2, "b.epub", "B")], "id int, path string, title string")
+    none = spark.createDataFrame([], "id int, path string")
+    plan = R.transfer_plan(books, books.where("id = 1"), none, none)
+    assert [(r.id, r.action) for r in plan.collect()] == [(1, "copy")]
+    files = spark.createDataFrame([("a.mobi",), ("n.epub",), ("x.pdf",)], "path string")
+    good, errors = R.bulk_import_plan(files, books)
+    assert [(r.path, r.action) for r in good.collect()] == [("n.epub", "convert")] and R.error_summary(errors).count() == 2
+    rows, moves = R.update_metadata_plan(books, spark.createDataFrame([(1, "Z")], "id int, title string"), ["title"], F.concat("title", F.lit(".mobi")), "path")
+    assert [r.title for r in rows.collect()] == ["Z"] and [(r.src_path, r.dst_path) for r in moves.collect()] == [("a.mobi", "Z.mobi")]
+    gone, errors = R.delete_plan(books, spark.createDataFrame([(1,), (9,)], "id int"), "path")
+    assert [r.src_path for r in gone.collect()] == ["a.mobi"] and [r["item"] for r in errors.collect()] == ["9"]
+    path = str(tmp_path / "c.json")
+    settings = config.read(path, config.LibrarySettings)
+    assert config.save_hidden_columns(path, settings, ["isbn"]) and not config.save_hidden_columns(path, settings, ["isbn"])
+    assert config.read(path, config.LibrarySettings).hidden_columns == ["isbn"]
+    assert config.needs_reorganizing(config.DeviceSettings(), config.DeviceSettings("{Title}"))
+    names = C.renumber(books, None, "title", width=3).orderBy("id").collect()
+    assert [r.new_id for r in names] == ["001", "002"]
