@@ -12,7 +12,7 @@ a zero-copy slice of batch i // BATCH. Only a file's last sequence has padding.
 order, and so are the documents in them.
 
 Nulls: a null text counts as empty and holds the end id alone; a null doc_id sorts first. Equal
-doc_ids keep all their rows, ordered by text. An empty table gives no file and no rows. Other
+doc_ids keep all their rows, in the order of a hash of the text. An empty table gives no file and no rows. Other
 columns are ignored.
 """
 
@@ -132,7 +132,7 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int = 0, le
         yield pa.record_batch([pa.array([name]), pa.array([out.total]), pa.array([n_docs])], names=["name", "n_tokens", "n_docs"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     files = sorted(map(tuple, ordered.mapInArrow(write, "name string, n_tokens long, n_docs long").collect()))
     return TokenFiles(root, length, files)
 
