@@ -12,7 +12,10 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the workers as a zip file, once per application."""
+    """Sends the package to the workers as a zip file, once per application, and bounds the batches they get."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864", "64MB"):  # Spark's default, too much for rows of long texts
+        spark.conf.set(key, "16777216")
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
