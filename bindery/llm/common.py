@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +102,22 @@ def few(df: DataFrame) -> DataFrame:
     return df.hint("rebalance").coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
+def lean(f):
+    """``f``, a function over batches, whose worker gives freed memory back to the system when the task ends."""
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def split_rows(lengths, most: int):
     """Ranges [i, j) of consecutive rows whose lengths sum to ``most`` or less; a longer row stands alone."""
     i, total = 0, 0

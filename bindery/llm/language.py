@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import few, table
+from bindery.llm.common import few, lean, table
 from bindery.llm.words import text_blocks
 
 #: Language families; a language of none of them is a family of its own.
@@ -136,6 +136,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("doc_id", "lang")
 
+    @lean
     def count(batches):
         for batch in batches:
             langs = batch.column("lang")
@@ -171,6 +172,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
     """``keep`` columns of ``docs`` with lang_pred and score, from text alone."""
     names = [*keep, *(["text"] if "text" not in keep else [])]
 
+    @lean
     def predict(batches):
         for batch in batches:
             text = batch.column("text")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import Scratch, few, small, table
+from bindery.llm.common import Scratch, few, lean, small, table
 from bindery.llm.components import components
 from bindery.llm.tokens import ragged
 from bindery.llm.words import Words, gram_counts, gram_hashes, mix, text_blocks
@@ -92,6 +92,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
 def signatures(docs: DataFrame, how: Near) -> DataFrame:
     """(doc_id, n_shingles, hi, lo, signature); (hi, lo) identifies the set, all null without shingles."""
 
+    @lean
     def sign(batches):
         for batch in batches:
             for i, j, data, offsets in text_blocks(batch.column("text")):
@@ -127,6 +128,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 def chunk_keys(nodes: DataFrame, how: Near) -> DataFrame:
     """(key, node, size): each chunk of each signature with each of its positions left out."""
 
+    @lean
     def keys(batches):
         for batch in batches:
             values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, how.positions).astype(np.uint64)
@@ -147,6 +149,7 @@ def chunk_keys(nodes: DataFrame, how: Near) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, how: Near) -> DataFrame:
     """(node, shingles) of the documents whose ids are in ``wanted`` (doc_id), a written table."""
 
+    @lean
     def sets(batches):
         for batch in batches:
             for i, j, data, offsets in text_blocks(batch.column("text")):
@@ -160,6 +163,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, how: Near) -> DataFrame:
 def _own(docs: DataFrame, wanted: DataFrame, how: Near) -> DataFrame:
     """(node, own): how many shingles each of these documents has that none of the others has."""
 
+    @lean
     def rows(batches):
         for batch in batches:
             for node, x in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist()):
@@ -173,6 +177,7 @@ def _own(docs: DataFrame, wanted: DataFrame, how: Near) -> DataFrame:
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Near, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (u, v) whose signatures are within the radius and whose full sets are similar enough."""
 
+    @lean
     def near(batches):
         for batch in batches:
             if batch.num_rows:
@@ -186,6 +191,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Near, scra
 
     full = scratch.table(few(_sets(docs, wanted, how).dropDuplicates(["node"])), f"{name}-sets")
 
+    @lean
     def confirm(batches):
         for batch in batches:
             hit = []

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import Scratch, few, split_rows, table
+from bindery.llm.common import Scratch, few, lean, split_rows, table
 from bindery.llm.tokens import CACHE_PIECES, cache
 
 CHARS = 4_000_000
@@ -51,6 +51,7 @@ class Capacity:
 def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int = 0, keep_ids: bool = False, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of ``docs``; only texts of over ``length`` ids are cut."""
 
+    @lean
     def pieces(batches):
         encoder = cache(tokenizer, cache_pieces)
         for batch in batches:
@@ -163,6 +164,7 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
     names = [c for c in pieces.columns]
     ranked = ranked.select(*names, "_rank")
 
+    @lean
     def place(batches):
         for batch in batches:
             size, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import BROADCAST_ROWS, Scratch, few, small, table
+from bindery.llm.common import BROADCAST_ROWS, Scratch, few, lean, small, table
 from bindery.llm.tokens import ragged
 from bindery.llm.words import Words, gram_counts, gram_hashes, text_blocks
 
@@ -67,6 +67,7 @@ def _rows(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 def _anchors(rows: DataFrame, window: int, phrase: int) -> DataFrame:
     """(h, d, t, n): anchors of each document, and in how many places."""
 
+    @lean
     def find(batches):
         for batch in batches:
             for i, j, data, offsets in text_blocks(batch.column("text")):
@@ -101,6 +102,7 @@ def _anchors(rows: DataFrame, window: int, phrase: int) -> DataFrame:
 def _candidate_windows(rows: DataFrame, window: int, phrase: int) -> DataFrame:
     """(w, d, t, p): hash and start of each window whose anchor is in the row's list hs."""
 
+    @lean
     def find(batches):
         for batch in batches:
             lists = batch.column("hs")
@@ -133,6 +135,7 @@ def _runs(rows: DataFrame, window: int, phrase: int, shards: int, first: bool) -
     """
     columns = ["a", "b"] if first else ["hs"]
 
+    @lean
     def find(batches):
         for batch in batches:
             lists = [batch.column(c) for c in columns]
@@ -243,6 +246,7 @@ class _Shard:
 def _stream(dealt: DataFrame, window: int, phrase: int) -> DataFrame:
     """(d, t, runs): dealt has, for each group, its passages (kind 0) before its documents (kind 1)."""
 
+    @lean
     def find(batches):
         group, held, shard = None, [], None
         for batch in batches:
@@ -325,6 +329,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep_text: bool = False, c
     held = [f"_carried{i}" for i in range(len(carry))]
     joined = _rows(docs, carry).join(F.broadcast(spans) if total <= BROADCAST_ROWS else spans, ["d", "t"], "left")
 
+    @lean
     def clean(batches):
         for batch in batches:
             out = []
