@@ -37,6 +37,8 @@ FAMILIES = {
 }
 
 PER_LANGUAGE, DIMENSIONS = 400, 8192
+#: Texts whose features are held at a time.
+ROWS = 128
 LETTER = re.compile(r"[^\W\d_]")
 
 _TABLE = np.full(256, 32, np.uint8)
@@ -140,7 +142,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     def count(batches):
         for batch in batches:
             langs = batch.column("lang")
-            for i, j, data, offsets in text_blocks(batch.column("text")):
+            for i, j, data, offsets in text_blocks(batch.column("text"), rows=ROWS):
                 x = features(data, offsets)
                 at = [np.flatnonzero(r) for r in x]
                 yield pa.record_batch([langs.slice(i, j - i), pa.array([a.astype(np.int16).tobytes() for a in at]), pa.array([r[a].astype(np.float16).tobytes() for r, a in zip(x, at)])], names=["lang", "at", "x"])
@@ -176,7 +178,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
     def predict(batches):
         for batch in batches:
             text = batch.column("text")
-            for i, j, data, offsets in text_blocks(text):
+            for i, j, data, offsets in text_blocks(text, rows=ROWS):
                 langs, scores = model.predict(features(data, offsets)) if model else (["und"] * (j - i), np.zeros(j - i))
                 for k, value in enumerate(text.slice(i, j - i).to_pylist()):
                     if not value or not LETTER.search(value):

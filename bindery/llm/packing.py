@@ -53,7 +53,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int = 0,
 
     @lean
     def pieces(batches):
-        encoder = cache(tokenizer, cache_pieces)
+        # a bounded table is the task's own and goes with it
+        encoder = cache(tokenizer) if cache_pieces == CACHE_PIECES else cache.__wrapped__(tokenizer, cache_pieces)
         for batch in batches:
             doc_ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for i, j in split_rows([len(x or "") for x in texts], CHARS):

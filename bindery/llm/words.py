@@ -93,8 +93,8 @@ def gram_counts(first: np.ndarray, n: int) -> np.ndarray:
     return np.maximum(0, np.diff(first) - n + 1)
 
 
-def text_blocks(column: pa.Array, most: int = BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(i, j, data, offsets) of consecutive texts of a string column; a null text is empty."""
+def text_blocks(column: pa.Array, most: int = BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(i, j, data, offsets) of consecutive texts of a string column, at most ``rows`` at a time; a null text is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -105,6 +105,6 @@ def text_blocks(column: pa.Array, most: int = BYTES) -> Iterator[tuple[int, int,
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, "right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, "right")) - 1), i + rows)
         yield i, j, data[bounds[i] : bounds[j]], (bounds[i : j + 1] - bounds[i])
         i = j
