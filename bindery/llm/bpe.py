@@ -5,8 +5,9 @@ token a byte. Each turn of a recursive query joins adjacent tokens to the merge
 word's pair of least rank, the leftmost of equals, and contracts it; words without such a pair are
 done. Decoding joins token ids to their bytes and aggregates them in order of position.
 
-Each distinct word is encoded once per worker and cache period. Words of over ``LONG`` bytes, whose
-turns would grow with the square of their length, are merged with a heap in the same order.
+Each distinct word is encoded once per worker and cache period. In words of over ``LONG`` bytes a turn contracts
+all places of the word's pair of least rank that one-by-one contraction would take next, so a very long word
+takes few turns too.
 
 Nulls: a null text counts as empty and has no ids; a null doc_id is kept. Equal rows each give a row.
 An empty table gives no rows. Other columns are ignored.
@@ -15,39 +16,64 @@ An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
-import heapq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import few, split_rows, table
-from bindery.llm.tokens import PieceCache, ragged
+from bindery.llm.common import few, held, lean, table
+from bindery.llm.tokens import PieceTable, ragged
+from bindery.llm.words import text_blocks
 
 #: Words kept per worker before the store starts anew.
 CACHE_WORDS = 800_000
-CHARS, WORDS, LONG = 4_000_000, 50_000, 200
+#: Bytes of text encoded at a time; words of a block of queries; bytes from which a word's turns contract more than one pair.
+BLOCK, WORDS, LONG = 4_000_000, 50_000, 64
 
-#: A state has each token's position and the word's best pair as id * 2 ** 20 + position * 2 ** 10 + next
-#: position. Ids are ranks, so the least number is the pair of least rank and leftmost of equals.
+#: A state has each token's position, the position before it, and the word's best pair as id * 2 ** 40 + position.
+#: Ids are ranks, so the least number is the pair of least rank and leftmost of equals.
 ENCODE = """
 WITH RECURSIVE s AS (
-  SELECT word, pos, tok, min((mid << 20) | (pos << 10) | nx) OVER (PARTITION BY word) AS best
-  FROM (SELECT word, pos, tok, lead(pos) OVER w AS nx, (tok << 20) | lead(tok) OVER w AS key FROM bytes WINDOW w AS (PARTITION BY word ORDER BY pos))
+  SELECT word, pos, tok, before, min((mid << 40) | pos) OVER (PARTITION BY word) AS best
+  FROM (SELECT word, pos, tok, lag(pos) OVER w AS before, (tok << 20) | lead(tok) OVER w AS key FROM bytes WINDOW w AS (PARTITION BY word ORDER BY pos))
   LEFT JOIN merges USING (key)
   UNION ALL
-  SELECT word, pos, tok, min((mid << 20) | (pos << 10) | nx) OVER (PARTITION BY word) AS best
-  FROM (SELECT word, pos, tok, lead(pos) OVER w AS nx, (tok << 20) | lead(tok) OVER w AS key
-        FROM (SELECT word, pos, CASE WHEN pos = ((best >> 10) & 1023) THEN best >> 20 ELSE tok END AS tok
-              FROM s WHERE best IS NOT NULL AND pos <> (best & 1023))
+  SELECT word, pos, tok, before, min((mid << 40) | pos) OVER (PARTITION BY word) AS best
+  FROM (SELECT word, pos, tok, lag(pos) OVER w AS before, (tok << 20) | lead(tok) OVER w AS key
+        FROM (SELECT word, pos, CASE WHEN pos = (best & ((1::BIGINT << 40) - 1)) THEN best >> 40 ELSE tok END AS tok
+              FROM s WHERE best IS NOT NULL AND before IS DISTINCT FROM (best & ((1::BIGINT << 40) - 1)))
         WINDOW w AS (PARTITION BY word ORDER BY pos))
   LEFT JOIN merges USING (key)
 )
 SELECT word, pos, tok FROM s WHERE best IS NULL
 """
+#: The same for long words, whose turns contract all places of the pair of least rank, from the left, up to the first
+#: whose contraction makes a pair of a lesser rank: up to there, these are the next contractions one by one.
+ENCODE_LONG = """
+WITH RECURSIVE s AS (
+  SELECT word, i, tok, mid, min(mid) OVER (PARTITION BY word) AS best
+  FROM (SELECT word, pos AS i, tok, (tok << 20) | lead(tok) OVER w AS key FROM bytes WINDOW w AS (PARTITION BY word ORDER BY pos))
+  LEFT JOIN merges USING (key)
+  UNION ALL
+  SELECT word, i, tok, mid, min(mid) OVER (PARTITION BY word) AS best
+  FROM (
+    SELECT word, row_number() OVER w - 1 AS i, tok, (tok << 20) | lead(tok) OVER w AS key
+    FROM (
+      SELECT word, i, CASE WHEN done THEN best ELSE tok END AS tok, coalesce(lag(done) OVER (PARTITION BY word ORDER BY i), false) AS gone
+      FROM (
+        SELECT word, i, tok, best, taken AND i <= coalesce(min(CASE WHEN taken AND (l.mid < best OR r.mid < best) THEN i END) OVER (PARTITION BY word), i) AS done
+        FROM (
+          SELECT word, i, tok, best, taken, ((CASE WHEN lag(taken, 2) OVER w THEN best ELSE lag(tok) OVER w END) << 20) | best AS left_key, (best << 20) | lead(tok, 2) OVER w AS right_key
+          FROM (SELECT *, mid IS NOT DISTINCT FROM best AND (i - coalesce(max(CASE WHEN mid IS DISTINCT FROM best THEN i END) OVER (PARTITION BY word ORDER BY i ROWS UNBOUNDED PRECEDING), -1)) % 2 = 1 AS taken FROM s WHERE best IS NOT NULL)
+          WINDOW w AS (PARTITION BY word ORDER BY i))
+        LEFT JOIN merges l ON l.key = left_key LEFT JOIN merges r ON r.key = right_key))
+    WHERE NOT gone WINDOW w AS (PARTITION BY word ORDER BY i))
+  LEFT JOIN merges USING (key)
+)
+SELECT word, i AS pos, tok FROM s WHERE best IS NULL
+"""
 #: Bytes stand as characters from 256 on, since only strings are aggregated.
 DECODE = "SELECT text, string_agg(s, '' ORDER BY pos) AS s FROM ids JOIN vocabulary USING (id) GROUP BY text"
 
@@ -71,7 +97,7 @@ class DuckBpe:
         self.pattern = regex.compile(pattern)
         self.words: dict[str, int] = {}
         self.flat, self.sizes, self.starts = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.cache = PieceCache(self._pieces)
+        self.pieces = PieceTable(self._pieces)
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.con.register("given", rows)
@@ -87,43 +113,23 @@ class DuckBpe:
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each word."""
         out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(words)
-        brief = [i for i, w in enumerate(words) if len(w) <= LONG]
-        for i, w in enumerate(words):
-            if len(w) > LONG:
-                out[i] = self._heap(w)
-        for k in range(0, len(brief), WORDS):
-            own = brief[k : k + WORDS]
-            sizes = np.array([len(words[i]) for i in own], np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(sizes, kind="stable")  # words of like length end in like turns
+        brief = int(np.searchsorted(sizes[order], LONG, "right"))
+        for query, own in [(ENCODE, order[k : min(k + WORDS, brief)]) for k in range(0, brief, WORDS)] + [(ENCODE_LONG, order[brief:])] * (brief < len(order)):
+            n = sizes[own]
+            own = own.tolist()
             flat = np.frombuffer(b"".join(words[i] for i in own), np.uint8)
-            word = np.repeat(np.arange(len(own), dtype=np.int32), sizes)
-            pos = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-            found = self._run(ENCODE, "bytes", pa.table({"word": word, "pos": pos.astype(np.int64), "tok": self.byte_ids[flat]}))
-            order = np.argsort(found.column("word").to_numpy().astype(np.int64) << 10 | found.column("pos").to_numpy(), kind="stable")
-            counts = np.bincount(found.column("word").to_numpy(), minlength=len(own))
-            for i, ids in zip(own, np.split(found.column("tok").to_numpy()[order].astype(np.uint32), np.cumsum(counts)[:-1])):
+            word = np.repeat(np.arange(len(own), dtype=np.int32), n)
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            found = self._run(query, "bytes", pa.table({"word": word, "pos": pos, "tok": self.byte_ids[flat]}))
+            at = found.column("word").to_numpy()
+            by_place = np.lexsort((found.column("pos").to_numpy(), at))
+            counts = np.bincount(at, minlength=len(own))
+            for i, ids in zip(own, np.split(found.column("tok").to_numpy()[by_place].astype(np.uint32), np.cumsum(counts)[:-1])):
                 out[i] = ids
         return out
 
-    def _heap(self, word: bytes) -> np.ndarray:
-        parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
-        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        ranks, end = self.ranks, len(parts)
-        heap = [(ranks[a + b], i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if parts[i] != a or j == end or parts[j] != b:
-                continue
-            parts[i], parts[j] = a + b, None
-            after[i] = after[j]
-            if after[i] < end:
-                before[after[i]] = i
-            for x in (before[i], i):
-                if x >= 0 and after[x] < end and parts[x] + parts[after[x]] in ranks:
-                    heapq.heappush(heap, (ranks[parts[x] + parts[after[x]]], x, parts[x], parts[after[x]]))
-        return np.array([ranks[x] for x in parts if x is not None], np.uint32)
-
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.words) > CACHE_WORDS:
             self.words, self.flat, self.sizes = {}, np.empty(0, np.uint32), np.empty(0, np.int64)
@@ -141,9 +147,9 @@ class DuckBpe:
         bounds = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])]
         return self.flat[ragged(self.starts[codes], sizes)], np.diff(bounds)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(flat ids, ids per text)."""
-        return self.cache.encode(texts)
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, ids per text) of the texts data[offsets[i]:offsets[i + 1]]."""
+        return self.pieces.encode(data, offsets)
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """The bytes of each run of ids."""
@@ -156,20 +162,19 @@ class DuckBpe:
         return out
 
 
-@functools.lru_cache(maxsize=2)
 def duck_bpe(path: str, pattern: str) -> DuckBpe:
-    return DuckBpe(path, pattern)
+    return held(("bpe", path, pattern), lambda: DuckBpe(path, pattern))
 
 
 def encode_decode(docs: DataFrame, ranks: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) of each row of ``docs`` (doc_id, text)."""
 
+    @lean
     def run(batches):
         bpe = duck_bpe(ranks, pattern)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, j in split_rows([len(x or "") for x in texts], CHARS):
-                flat, sizes = bpe.encode(texts[i:j])
+            for i, j, data, offsets in text_blocks(batch.column("text"), BLOCK):
+                flat, sizes = bpe.encode(data, offsets)
                 decoded = [hashlib.sha256(x).hexdigest() for x in bpe.decode(flat, sizes)]
                 packed = [x.tobytes() for x in np.split(flat.astype("<u4"), np.cumsum(sizes)[:-1])]
                 out = [batch.column("doc_id").slice(i, j - i), pa.array(sizes), pa.array([hashlib.sha256(x).hexdigest() for x in packed]), pa.array(decoded)]

@@ -11,9 +11,10 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,22 +46,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/bindery-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-        self.held: list[DataFrame] = []
         atexit.register(self.drop)
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """``df`` kept on the executors' disks until ``free``. A lost part is computed again from what came before,
-
-        so this suits small steps between written tables; those that later steps must not repeat are written.
-        """
-        self.held.append(df.persist(StorageLevel.DISK_ONLY))
-        return df
-
-    def free(self) -> None:
-        for df in self.held:
-            df.unpersist()
-        self.held = []
-
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
@@ -81,39 +68,86 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows of a narrow table (keys and numbers) that may be broadcast; at 100 bytes a row this is 100 MB at most.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table that may be broadcast, as its values need them; a row counts for some bytes of its own.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 48
+
+
+def _width(kind: T.DataType, c):
+    """Bytes of a value, counted as it is held."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType)):
+        return F.coalesce(F.aggregate(c, F.lit(8).cast("long"), lambda a, x: a + _width(kind.elementType, x)), F.lit(8))
+    return F.coalesce(F.size(c), F.lit(0)) * 8 + 8 if isinstance(kind, T.ArrayType) else F.lit(8)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is (Spark then shuffles, and splits skew).
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows hold at most ``most`` bytes, else as it is (Spark then shuffles, and splits skew).
 
-    ``df`` should read a written table, since it is counted here.
+    ``df`` should read a written table, since its bytes are summed here.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    total = df.select(sum((_width(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(ROW_BYTES)).cast("long").alias("n")).agg(F.sum("n")).first()[0]
+    return F.broadcast(df) if (total or 0) <= most else df
+
+
+def parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def few(df: DataFrame) -> DataFrame:
-    """``df``, whose rows are narrow, in as few parts as the session's advisory size asks for, and an eighth of its
-    shuffle partitions at most.
+    """``df``, whose rows are narrow, in parts of the session's advisory size.
 
-    A long stage over texts then leaves its small results in a few files instead of one a task.
+    A long stage over texts then leaves its small results in a few files instead of one a task. Only where the session
+    doesn't let Spark merge small parts are they merged here, eight to one, whatever their size.
     """
-    return df.hint("rebalance").coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+    merged = df.hint("rebalance")
+    if df.sparkSession.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true":
+        return merged
+    return merged.coalesce(max(1, parts(df.sparkSession) // 8))
+
+
+#: What this worker keeps from task to task of one stage: (stage, thing) by key.
+_held: dict[object, tuple[int, object]] = {}
+
+
+def _stage() -> int:
+    context = TaskContext.get()
+    return context.stageId() if context else -1
+
+
+def held(key, make):
+    """``make()``, once per worker and stage; ``lean`` functions of other stages let it go."""
+    stage = _stage()
+    if key not in _held or _held[key][0] != stage:
+        _held[key] = (stage, make())
+    return _held[key][1]
+
+
+def let_go() -> None:
+    """Drops what other stages held."""
+    stage = _stage()
+    for key in [k for k, (of, _) in _held.items() if of != stage]:
+        del _held[key]
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def lean(f):
-    """``f``, a function over batches, whose worker gives freed memory back to the system when the task ends."""
+    """``f``, a function over batches, whose worker gives memory back to the system: what other stages held when the task
+    begins, and what was freed when it ends."""
 
     @functools.wraps(f)
     def run(batches):
+        let_go()
         try:
             yield from f(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return run
 

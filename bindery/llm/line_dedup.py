@@ -6,7 +6,8 @@ covered lines are removed. Windows are judged on the input, not on what is left.
 
 Nulls: a null text stays null and has no lines. A null doc_id comes before all others. Rows of equal
 doc_id and text hold the same places, so neither is the later. Texts of fewer lines than a window,
-and windows without a visible character, are left alone. An empty table gives no rows.
+and windows without a visible character, are left alone. An empty table gives no rows. A very long text
+takes time in proportion to its lines. Columns named as results give way to them; all others are passed on.
 """
 
 from __future__ import annotations
@@ -38,18 +39,18 @@ def line_dedup(docs: DataFrame, lines: int = 3) -> DataFrame:
     first = windows.groupBy("a", "b").agg(F.min(F.struct("d", "p")).alias("f"), F.count("*").alias("n")).where("n > 1").select("a", "b", "f")
     later = windows.join(small(scratch.table(first, "first")), ["a", "b"]).where(F.struct("d", "p") > F.col("f"))
     covered = later.groupBy("d", "t").agg(F.collect_set("p").alias("ps"))
-    covered = scratch.table(covered, "covered")
-    total = covered.agg(F.sum(F.size("ps"))).first()[0] or 0
+    covered = small(scratch.table(covered, "covered"))
 
     names = docs.columns
     full = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), d.alias("d"), t.alias("t"))
-    joined = full.join(F.broadcast(covered) if total <= 4_000_000 else covered, ["d", "t"], "left")
+    joined = full.join(covered, ["d", "t"], "left")
     joined = joined.withColumn("ls", F.split("row.text", "\n"))
     removed = F.array_distinct(F.flatten(F.transform("ps", lambda p: F.sequence(p, p + lines - 1))))
     left = F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), removed)
     joined = joined.withColumn("left", F.when(F.col("ps").isNotNull() & F.col("row.text").isNotNull(), left))
     text = F.when(F.col("left").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform("left", lambda i: F.get("ls", i)), "\n"))
     n = F.when(F.col("row.text").isNull(), 0).otherwise(F.size("ls")).cast("long")
+    names = [c for c in names if c not in ("n_lines", "n_removed", "kept")]  # which give way to the results
     columns = [(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in names]
     joined = joined.withColumn("_n", n).withColumn("_gone", F.when(F.col("left").isNull(), F.lit(0).cast("long")).otherwise(F.col("_n") - F.size("left")))
     return joined.select(*columns, F.col("_n").alias("n_lines"), F.col("_gone").alias("n_removed"), ((F.col("_gone") == 0) | (F.col("_gone") < F.col("_n"))).alias("kept"))

@@ -11,8 +11,11 @@ driver. Bins in the same state are kept as ranges, so a plan has a row per range
 pieces then find their slot by their rank among the pieces of the same length: ranks are taken in
 salted groups and shifted by the counts of the groups before, so no length gathers in one task.
 
+Without other limits a sequence holds as many documents, and as much attention cost, as its tokens allow; these two
+then only weigh in the score. Lower limits bind, and may cost sequences.
+
 Nulls: a null text counts as empty (the end id alone); a null doc_id is kept. Equal rows are packed
-as separate documents. An empty table gives no rows. Other columns are ignored.
+as separate documents. An empty table gives no rows. A very long text is encoded in one block and cut. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import Scratch, few, lean, split_rows, table
-from bindery.llm.tokens import CACHE_PIECES, cache
+from bindery.llm.common import Scratch, few, lean, table
+from bindery.llm.tokens import table as piece_table
+from bindery.llm.words import text_blocks
 
-CHARS = 4_000_000
 #: Pieces in a salted group, about.
 GROUP = 500_000
 
@@ -41,24 +44,23 @@ class Capacity:
     tokens: int = 2048
     documents: int | None = None
     attention: int | None = None
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 0.1, 0.1)
     rule: str = "norm"
 
     def limits(self) -> np.ndarray:
         return np.array([self.tokens, self.documents or self.tokens, self.attention or self.tokens**2], np.int64)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int = 0, keep_ids: bool = False, cache_pieces: int = CACHE_PIECES) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int = 0, keep_ids: bool = False, plain: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of ``docs``; only texts of over ``length`` ids are cut."""
 
     @lean
     def pieces(batches):
-        # a bounded table is the task's own and goes with it
-        encoder = cache(tokenizer) if cache_pieces == CACHE_PIECES else cache.__wrapped__(tokenizer, cache_pieces)
+        encoder = piece_table(tokenizer, plain)
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for i, j in split_rows([len(x or "") for x in texts], CHARS):
-                flat, sizes = encoder.encode(texts[i:j])
+            doc_ids = batch.column("doc_id")
+            for i, j, data, offsets in text_blocks(batch.column("text")):
+                flat, sizes = encoder.encode(data, offsets)
                 flat = np.insert(flat, np.cumsum(sizes), end_id).astype("<u4")
                 sizes = sizes + 1
                 counts = -(-sizes // length)
@@ -181,13 +183,13 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
     return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: Capacity = Capacity(), keep_ids: bool = False, cache_pieces: int = CACHE_PIECES) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: Capacity = Capacity(), keep_ids: bool = False, plain: bool = False) -> DataFrame:
     """Encodes, cuts and packs ``docs``; keep_ids adds each piece's ids (little-endian unsigned 32-bit).
 
-    ``cache_pieces`` bounds the table of encoded pieces in each worker, some 300 bytes apiece.
+    Special tokens' strings in a text are what the library takes them for, or ordinary text if ``plain``.
     """
     scratch = Scratch(docs.sparkSession, "pack")
-    pieces = token_pieces(docs, tokenizer, capacity.tokens, keep_ids=keep_ids, cache_pieces=cache_pieces)
+    pieces = token_pieces(docs, tokenizer, capacity.tokens, keep_ids=keep_ids, plain=plain)
     return pack(scratch.table(pieces if keep_ids else few(pieces), "pieces"), capacity)
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import BROADCAST_ROWS, Scratch, few, lean, small, table
+from bindery.llm.common import Scratch, few, lean, small, table
 from bindery.llm.tokens import ragged
 from bindery.llm.words import Words, gram_counts, gram_hashes, text_blocks
 
@@ -324,10 +324,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep_text: bool = False, c
     ``carry`` names further columns of ``docs`` to pass on.
     """
     scratch = Scratch(docs.sparkSession, "repeats")
-    spans = scratch.table(few(repeated_windows(docs, window, scratch)), "spans")
-    total = spans.agg(F.sum(F.aggregate("runs", F.lit(0), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
+    spans = small(scratch.table(few(repeated_windows(docs, window, scratch)), "spans"))
     held = [f"_carried{i}" for i in range(len(carry))]
-    joined = _rows(docs, carry).join(F.broadcast(spans) if total <= BROADCAST_ROWS else spans, ["d", "t"], "left")
+    joined = _rows(docs, carry).join(spans, ["d", "t"], "left")
 
     @lean
     def clean(batches):

@@ -8,12 +8,12 @@ footer that makes every batch addressable). Each has the columns
 
 in batches of ``BATCH`` sequences, uncompressed, so that a memory map gives sequence i of a file as
 a zero-copy slice of batch i // BATCH. Only a file's last sequence has padding. Beside each file
-``NNNNN.docs.arrow`` lists its documents in order: doc_id, n_tokens. Files are in ascending doc_id
+``NAME.docs.arrow`` lists its documents in order: doc_id, n_tokens. Files are in ascending doc_id
 order, and so are the documents in them.
 
 Nulls: a null text counts as empty and holds the end id alone; a null doc_id sorts first. Equal
-doc_ids keep all their rows, in the order of a hash of the text. An empty table gives no file and no rows. Other
-columns are ignored.
+doc_ids keep all their rows, in the order of a hash of the text. A very long text is encoded in one block and runs through as many sequences as it
+fills. An empty table gives no file and no rows. Other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -28,13 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import Scratch, split_rows, table
-from bindery.llm.tokens import cache, load
+from bindery.llm.common import Scratch, lean, table
+from bindery.llm.tokens import table as pieces
+from bindery.llm.tokens import vocabulary_size
+from bindery.llm.words import text_blocks
 
 #: Sequences in a batch.
 BATCH = 64
-#: Characters of text encoded at a time.
-CHARS = 4_000_000
 
 
 @dataclass
@@ -89,35 +89,35 @@ class _Writer:
         self.sink.close()
 
 
-def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int = 0, length: int = 2048) -> TokenFiles:
+def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int = 0, length: int = 2048, plain: bool = False) -> TokenFiles:
     """Encodes ``docs`` (doc_id, text) to files under ``root``, a folder that all machines share.
 
-    The texts are range-partitioned by doc_id once; each task encodes and writes its own file, under
-    a name of its attempt that is then renamed, so a task may run again. The driver gets one row a file.
+    The texts are range-partitioned by doc_id once; each task encodes and writes its own file under a name
+    of its attempt, which the row that it returns tells. So a task may run again, and of what lost attempts
+    leave nothing is read. The driver gets one row a file. Special tokens' strings in a text are what the
+    library takes them for, or ordinary text if ``plain``.
     """
-    vocabulary = load(tokenizer).get_vocab_size(with_added_tokens=True)
-    dtype = "uint16" if vocabulary <= 1 << 16 else "uint32"
+    dtype = "uint16" if vocabulary_size(tokenizer) <= 1 << 16 else "uint32"
 
+    @lean
     def write(batches):
         fs, base = _open(root)
         fs.create_dir(base)
         context = TaskContext.get()
-        name = f"{context.partitionId():06d}"
-        attempt = f"{base}/_{name}-{context.taskAttemptId()}"
+        name = f"{context.partitionId():06d}-{context.taskAttemptId()}"
         out, n_docs = None, 0
-        encoder = cache(tokenizer)
+        encoder = pieces(tokenizer, plain)
         kinds = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
         for batch in batches:
             if not batch.num_rows:
                 continue
             if out is None:
-                out = _Writer(fs, f"{attempt}.arrow", length, dtype)
-                index_sink = fs.open_output_stream(f"{attempt}.docs.arrow")
+                out = _Writer(fs, f"{base}/{name}.arrow", length, dtype)
+                index_sink = fs.open_output_stream(f"{base}/{name}.docs.arrow")
                 index = pa.ipc.new_file(index_sink, kinds)
-            texts = batch.column("text").to_pylist()
             doc_ids = batch.column("doc_id")
-            for i, j in split_rows([len(x or "") for x in texts], CHARS):
-                flat, sizes = encoder.encode(texts[i:j])
+            for i, j, data, offsets in text_blocks(batch.column("text")):
+                flat, sizes = encoder.encode(data, offsets)
                 full = np.insert(flat, np.cumsum(sizes), end_id)
                 out.add(full)
                 index.write_batch(pa.record_batch([doc_ids.slice(i, j - i), pa.array(sizes + 1)], schema=kinds))
@@ -127,8 +127,6 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int = 0, le
         out.close()
         index.close()
         index_sink.close()
-        for kind in (".docs.arrow", ".arrow"):
-            fs.move(f"{attempt}{kind}", f"{base}/{name}{kind}")
         yield pa.record_batch([pa.array([name]), pa.array([out.total]), pa.array([n_docs])], names=["name", "n_tokens", "n_docs"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -147,6 +145,7 @@ def read_documents(spark: SparkSession, data: TokenFiles) -> DataFrame:
         return spark.createDataFrame([], schema)
     files = spark.range(0, len(names), 1, len(names))
 
+    @lean
     def read(batches):
         fs, base = _open(root)
         for number in (x for b in batches for x in b.column(0).to_pylist()):

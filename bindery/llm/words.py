@@ -12,12 +12,12 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time; a longer text is handled alone.
-BYTES = 2_000_000
+BYTES = 500_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -45,7 +45,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, 1 << max(21, (n - 1).bit_length()))
+    return _powers(base, 1 << max(19, (n - 1).bit_length()))
 
 
 class Words:
@@ -68,13 +68,17 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word; ``lower``: of the word with A-Z in lower case."""
-        if not len(self.starts):
+        return self.run_hashes(self.starts, self.ends, lower)
+
+    def run_hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+        """A 64-bit hash of each run of bytes."""
+        if not len(starts):
             return np.empty(0, np.uint64)
         up, down = powers(_BASE, len(self.data))
-        values = _BYTE_VALUES[_LOWER] if lower else _BYTE_VALUES
+        values = _BYTE_VALUES[LOWER] if lower else _BYTE_VALUES
         sums = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum(values[self.data] * up[: len(self.data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def gram_hashes(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
