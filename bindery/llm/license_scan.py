@@ -6,12 +6,11 @@ j votes for the diagonal i - j. Diagonals a few words apart, as insertions and o
 are merged to spans, and a span is verified by the share of the template's words that stand in place.
 
 The three base phrases must match whole, on one diagonal; the further templates give labels of their
-own where at least ``coverage`` of their words match. A template pair of two words from
-``COMMON`` casts no vote (it would vote nearly everywhere), but counts in the verification.
+own where at least ``coverage`` of their words match. All pairs of a template vote.
 
 Nulls: a null text has no words. Rows of one doc_id and text are scanned alike, each with a row of
 the result; a null doc_id is kept. A text without a phrase has empty labels, null places and score 0.
-An empty table gives no rows. Other columns are ignored.
+An empty table gives no rows. A very long text takes time in proportion to its words. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,8 +45,6 @@ TEMPLATES = {
     "unlicense": ["this is free and unencumbered software released into the public domain"],
 }
 
-COMMON = ["a", "and", "by", "for", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "under", "with", "you"]
-
 WORD_ENDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -56,44 +53,52 @@ def words(text):
     return F.filter(F.split(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("Å"))), WORD_ENDS), lambda w: w != "")
 
 
+_PHRASE_LIST = [(label, base, phrase.split()) for base, kinds in ((True, BASE), (False, TEMPLATES)) for label, phrases in kinds.items() for phrase in phrases]
+#: Phrases of fewer words must stand whole on one diagonal; longer ones may change diagonals.
+SHORT = 6
+
+
 def _templates(spark: SparkSession) -> DataFrame:
-    """(g, j, template, label, base, tw): places of the voting pairs; a few hundred rows."""
-    rows = [(n, label, base, phrase.split()) for n, (label, base, phrase) in enumerate((label, base, p) for base, kinds in ((True, BASE), (False, TEMPLATES)) for label, ps in kinds.items() for p in ps)]
-    df = spark.createDataFrame(rows, "template int, label string, base boolean, tw array<string>")
-    df = df.select("*", F.posexplode(F.transform(F.slice("tw", F.lit(1), F.size("tw") - 1), lambda w, i: F.struct(w.alias("a"), F.get("tw", i + 1).alias("b")))).alias("j", "pair"))
-    df = df.where(~(F.col("pair.a").isin(COMMON) & F.col("pair.b").isin(COMMON)))
-    return df.select(F.xxhash64("pair.a", "pair.b").alias("g"), "j", "template", "label", "base", "tw")
-
-
-def license_spans(docs: DataFrame, coverage: float = 0.75, gap: int = 3) -> DataFrame:
-    """(doc_id, t, template, label, base, first_word, last_word, coverage) of each verified span of ``docs``."""
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), words(F.col("text")).alias("w")).where(F.size("w") > 1)
-    pairs = F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda x, i: F.xxhash64(x, F.get("w", i + 1)))
-    grams = df.select("doc_id", "t", "w", F.posexplode(pairs).alias("i", "g"))
-    hits = grams.join(F.broadcast(_templates(docs.sparkSession)), "g")
-    diagonal = F.col("i") - F.col("j")
-    places = F.sequence(F.lit(0), F.size("tw") - 1)
-    # the words of the document along the diagonal, null before its start and after its end
-    along = F.slice("w", F.greatest(diagonal, F.lit(0)) + 1, F.size("tw") + F.least(diagonal, F.lit(0)))
-    hits = hits.select("doc_id", "t", "template", "label", "base", diagonal.alias("diagonal"), "tw", along.alias("along"))
-    matched = F.filter(places, lambda j: F.coalesce(F.get("along", j + F.least(F.col("diagonal"), F.lit(0))) == F.get("tw", j), F.lit(False)))
-    voted = hits.groupBy("doc_id", "t", "template", "label", "base", "diagonal").agg(F.first("tw").alias("tw"), F.first("along").alias("along"))
-    voted = voted.select("doc_id", "t", "template", "label", "base", "diagonal", F.size("tw").alias("size"), matched.alias("matched"))
-    # short phrases must stand whole on one diagonal; longer ones may change diagonals
+    """(g, j, template, size): places of all word pairs of the templates; a few hundred rows."""
+    df = spark.createDataFrame([(n, words) for n, (_, _, words) in enumerate(_PHRASE_LIST)], "template int, tw array<string>")
+    df = df.select("template", F.size("tw").alias("size"), F.posexplode(F.transform(F.slice("tw", F.lit(1), F.size("tw") - 1), lambda w, i: F.struct(w.alias("a"), F.get("tw", i + 1).alias("b")))).alias("j", "pair"))
+    return df.select(F.xxhash64("pair.a", "pair.b").alias("g"), "j", "template", "size")
+
+
+def license_spans(docs: DataFrame, scratch: Scratch, coverage: float = 0.75, gap: int = 3) -> DataFrame:
+    """(doc_id, t, template, label, base, first_word, coverage) of each verified span of ``docs``."""
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), words(F.col("text")).alias("w"))
+    pairs = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("w", i + 1)))
+    grams = df.select("doc_id", "t", F.posexplode(pairs).alias("i", "g"))
+    hits = grams.join(F.broadcast(_templates(docs.sparkSession)), "g").select("doc_id", "t", "template", "size", (F.col("i") - F.col("j")).alias("diagonal"), "j")
+    voted = hits.groupBy("doc_id", "t", "template", "size", "diagonal").agg(F.countDistinct("j").alias("votes"))
     order = Window.partitionBy("doc_id", "t", "template").orderBy("diagonal")
-    apart = (F.col("size") < 6) | (F.col("diagonal") - F.lag("diagonal").over(order) > gap)
-    spans = voted.withColumn("span", F.sum(F.coalesce(apart.cast("int"), F.lit(1))).over(order))
-    spans = spans.groupBy("doc_id", "t", "template", "label", "base", "size", "span").agg(
-        F.min("diagonal").alias("first_word"), F.max(F.col("diagonal") + F.col("size") - 1).alias("last_word"), F.array_distinct(F.flatten(F.collect_list("matched"))).alias("matched")
-    )
-    share = F.size("matched") / F.col("size")
-    return spans.withColumn("coverage", share).where(F.when(F.col("size") < 6, share == 1).otherwise(share >= coverage)).drop("matched", "size", "span")
+    apart = (F.col("size") < SHORT) | (F.col("diagonal") - F.lag("diagonal").over(order) > gap)
+    # a lone diagonal with few votes can't pass: words in place that cast no vote have a gap between each two
+    alone = apart & (F.lead("diagonal").over(order) - F.col("diagonal") > gap)
+    hopeless = F.when(F.col("size") < SHORT, F.col("votes") < F.col("size") - 1).otherwise(F.coalesce(alone, F.lit(False)) & ((F.col("votes") + F.col("size") + 1) / 2 < coverage * F.col("size")))
+    spans = voted.withColumn("span", F.sum(F.coalesce(apart.cast("int"), F.lit(1))).over(order)).withColumn("hopeless", hopeless)
+    places = spans.where("not hopeless").groupBy("doc_id", "t").agg(F.collect_list(F.struct("template", "span", "diagonal")).alias("places"))
+    places = small(scratch.table(few(places), "places")).withColumnsRenamed({"doc_id": "_d", "t": "_t"})
+    # the words come back once for each document, and stay in one row while its diagonals are compared
+    phrases = F.array(*[F.array(*map(F.lit, words)) for _, _, words in _PHRASE_LIST])
+    back = df.join(places, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")))
+
+    def matched(p):
+        return F.filter(F.sequence(F.lit(0), F.size(F.get(phrases, p["template"])) - 1), lambda j: F.when(p["diagonal"] + j >= 0, F.get("w", F.greatest(p["diagonal"] + j, F.lit(0))) == F.get(F.get(phrases, p["template"]), j)))
+
+    # rows of one doc_id and text hold the same places
+    each = back.select("doc_id", "t", F.explode(F.transform("places", lambda p: F.struct(p["template"].alias("template"), p["span"].alias("span"), p["diagonal"].alias("diagonal"), matched(p).alias("matched")))).alias("p"))
+    spans = each.select("doc_id", "t", "p.*").groupBy("doc_id", "t", "template", "span").agg(F.min("diagonal").alias("first_word"), F.array_distinct(F.flatten(F.collect_set("matched"))).alias("matched"))
+    labels, bases, sizes = (F.get(F.array(*map(F.lit, x)), F.col("template")) for x in ([p[0] for p in _PHRASE_LIST], [p[1] for p in _PHRASE_LIST], [len(p[2]) for p in _PHRASE_LIST]))
+    spans = spans.select("doc_id", "t", "template", labels.alias("label"), bases.alias("base"), "first_word", (F.size("matched") / sizes).alias("coverage"), (sizes < SHORT).alias("short"))
+    return spans.where(F.when(F.col("short"), F.col("coverage") == 1).otherwise(F.col("coverage") >= coverage)).drop("short")
 
 
 def scan_licenses(docs: DataFrame, coverage: float = 0.75) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of each row."""
     scratch = Scratch(docs.sparkSession, "licenses")
-    spans = scratch.table(license_spans(docs, coverage), "spans")
+    spans = scratch.table(few(license_spans(docs, scratch, coverage)), "spans")
     base = F.when(F.col("base"), F.col("first_word")).cast("long")
     joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
     found = spans.groupBy("doc_id", "t").agg(
@@ -110,8 +115,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
-_PHRASES = ", ".join(f"({n}, '{label}', {str(base).lower()}, '{phrase}')" for n, (label, base, phrase) in enumerate((label, base, p) for base, kinds in ((True, BASE), (False, TEMPLATES)) for label, ps in kinds.items() for p in ps))
-_COMMON = ", ".join(f"'{w}'" for w in COMMON)
+_PHRASES = ", ".join(f"({n}, '{label}', {str(base).lower()}, '{' '.join(words)}')" for n, (label, base, words) in enumerate(_PHRASE_LIST))
 
 OP2_SQL = rf"""
 WITH t AS (
@@ -119,7 +123,7 @@ WITH t AS (
 ), tw AS (
   SELECT template, label, base, len(tw) AS size, unnest(tw) AS word, generate_subscripts(tw, 1) - 1 AS j FROM t
 ), seeds AS (
-  SELECT a.template, a.j, a.word AS a, b.word AS b FROM tw a JOIN tw b ON a.template = b.template AND b.j = a.j + 1 WHERE NOT (a.word IN ({_COMMON}) AND b.word IN ({_COMMON}))
+  SELECT a.template, a.j, a.word AS a, b.word AS b FROM tw a JOIN tw b ON a.template = b.template AND b.j = a.j + 1
 ), d AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
 ), w AS (
