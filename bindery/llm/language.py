@@ -6,11 +6,11 @@ coordinate descent) choose the language family, one against the rest, and then b
 languages of the family, which vote; ties go to the larger sum of margins, then to the name.
 
 Fitting uses at most ``PER_LANGUAGE`` labelled rows of each language, those with the least hash of
-their id, so that the driver holds a bounded matrix however large the corpus is. Predictions cover
-whole texts of all rows.
+their id, so that what the driver holds is bounded however large the corpus is. Predictions cover
+whole texts of all rows, very long ones too.
 
 Nulls: a text that is null or has no letter is ``und`` with score 0; rows with a null lang, text or
-doc_id aren't fitted. Equal rows are predicted alike. With a single language in the fitted rows all
+doc_id aren't fitted. Equal rows are predicted alike, and fitted once. With a single language in the fitted rows all
 texts are of it; with none, or an empty table, all are ``und``. Other columns are ignored.
 """
 
@@ -39,6 +39,7 @@ FAMILIES = {
 PER_LANGUAGE, DIMENSIONS = 400, 8192
 #: Texts whose features are held at a time.
 ROWS = 128
+#: Letters, and some numerals that aren't.
 LETTER = re.compile(r"[^\W\d_]")
 
 _TABLE = np.full(256, 32, np.uint8)
@@ -66,20 +67,22 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out / np.maximum(size, 1e-9)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, passes: int = 30) -> np.ndarray:
-    """Weights, the last of which is the bias, for y of +1 and -1."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w = np.zeros(x.shape[1])
-    alpha = np.zeros(len(x))
-    diagonal = (x * x).sum(axis=1) + 1 / (2 * cost)
+def fit_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: float = 10.0, passes: int = 30) -> np.ndarray:
+    """Weights, the last of which is the bias, for y of +1 and -1; rows have (places, values) of what isn't 0."""
+    w = np.zeros(DIMENSIONS + 1)
+    alpha = np.zeros(len(rows))
+    diagonal = np.array([(v * v).sum() + 1 for _, v in rows]) + 1 / (2 * cost)
     rng = np.random.default_rng(3)
     for _ in range(passes):
         moved = 0.0
-        for i in rng.permutation(len(x)):
-            g = y[i] * (x[i] @ w) - 1 + alpha[i] / (2 * cost)
+        for i in rng.permutation(len(rows)):
+            at, v = rows[i]
+            g = y[i] * (v @ w[at] + w[-1]) - 1 + alpha[i] / (2 * cost)
             new = max(alpha[i] - g / diagonal[i], 0.0)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w[at] += step * v
+                w[-1] += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-4:
@@ -134,9 +137,11 @@ def _squash(m: np.ndarray) -> np.ndarray:
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """A model from ``labelled`` (doc_id, text, lang), all of which may be used; null if there is none."""
-    rows = labelled.where("lang is not null and text is not null and doc_id is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("doc_id", "lang")
+    rows = labelled.where("lang is not null and text is not null and doc_id is not null").withColumn("t", F.xxhash64("text"))
+    keys = rows.select("doc_id", "lang", "t").distinct().withColumn("salt", F.pmod(F.xxhash64("doc_id", "t"), F.lit(64)))
+    for by in (["lang", "salt"], ["lang"]):  # first the least of each salted group, then of these
+        order = Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id", "t")
+        keys = keys.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).drop("r")
 
     @lean
     def count(batches):
@@ -147,16 +152,14 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
                 at = [np.flatnonzero(r) for r in x]
                 yield pa.record_batch([langs.slice(i, j - i), pa.array([a.astype(np.int16).tobytes() for a in at]), pa.array([r[a].astype(np.float16).tobytes() for r, a in zip(x, at)])], names=["lang", "at", "x"])
 
-    # at most per_language rows a language, so the ids may be broadcast
-    some = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).mapInArrow(count, "lang string, at binary, x binary").toArrow()
+    # at most per_language rows a language, so the keys may be broadcast; equal rows count once
+    some = rows.join(F.broadcast(keys.drop("salt")), ["doc_id", "lang", "t"]).groupBy("doc_id", "lang", "t").agg(F.first("text").alias("text")).mapInArrow(count, "lang string, at binary, x binary").toArrow()
     if not some.num_rows:
         return None
     langs = np.array(some.column("lang").to_pylist(), object)
-    x = np.zeros((len(langs), DIMENSIONS), np.float32)
-    for i, (a, v) in enumerate(zip(some.column("at").to_pylist(), some.column("x").to_pylist())):
-        x[i, np.frombuffer(a, np.int16)] = np.frombuffer(v, np.float16)
-    by_row = np.lexsort(((x * np.arange(1, DIMENSIONS + 1)).sum(axis=1), langs.astype(str)))
-    langs, x = langs[by_row], x[by_row]
+    x = [(np.frombuffer(a, np.int16).astype(np.int64), np.frombuffer(v, np.float16).astype(np.float64)) for a, v in zip(some.column("at").to_pylist(), some.column("x").to_pylist())]
+    by_row = sorted(range(len(x)), key=lambda i: (langs[i], x[i][0].tolist(), x[i][1].tolist()))
+    langs, x = langs[by_row], [x[i] for i in by_row]
     family = np.array([family_of(v) for v in langs], object)
     families = sorted(set(family))
     members = {f: sorted(set(langs[family == f])) for f in families}
@@ -165,13 +168,14 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     pair_weights = {}
     for f, m in members.items():
         if pairs[f]:
-            own = [np.isin(langs, [m[a], m[b]]) for a, b in pairs[f]]
-            pair_weights[f] = np.stack([fit_svm(x[o], np.where(langs[o] == m[a], 1.0, -1.0)) for o, (a, _) in zip(own, pairs[f])], axis=1)
+            own = [np.flatnonzero(np.isin(langs, [m[a], m[b]])) for a, b in pairs[f]]
+            pair_weights[f] = np.stack([fit_svm([x[i] for i in o], np.where(langs[o] == m[a], 1.0, -1.0)) for o, (a, _) in zip(own, pairs[f])], axis=1)
     return Model(families, family_weights, members, pairs, pair_weights)
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` with lang_pred and score, from text alone."""
+    keep = [c for c in keep if c not in ("lang_pred", "score")]  # which give way to the results
     names = [*keep, *(["text"] if "text" not in keep else [])]
 
     @lean
@@ -181,7 +185,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
             for i, j, data, offsets in text_blocks(text, rows=ROWS):
                 langs, scores = model.predict(features(data, offsets)) if model else (["und"] * (j - i), np.zeros(j - i))
                 for k, value in enumerate(text.slice(i, j - i).to_pylist()):
-                    if not value or not LETTER.search(value):
+                    if not value or not any(m.group().isalpha() for m in LETTER.finditer(value)):
                         langs[k], scores[k] = "und", 0.0
                 scores = np.where([v == "und" for v in langs], 0.0, scores)
                 yield pa.record_batch([batch.column(c).slice(i, j - i) for c in keep] + [pa.array(langs, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
