@@ -8,13 +8,14 @@ the shard, by the usual rule that keeps a candidate closer to the node than to a
 before, and links go both ways. A search descends greedily from the top level and widens to ``ef``
 nodes on the lowest; blocks of queries search each shard in step, and the shards' results are merged.
 
-Equal vectors are one node, which holds the smallest ids that any answer could need, so copies
+Equal vectors are one node, which holds the k + 1 smallest of its distinct ids, all that any answer could need, so copies
 neither crowd the graph nor are lost. All other rows are indexed and searched; a query block meets
 every shard. Scores are inner products of the original vectors in double precision.
 
 Nulls: a null vector, one that is empty, zero or holds a null or non-finite component, and a row with
-a null id take no part. Vectors of different lengths meet only their like. Equal ids are separate
-candidates; a query never finds its own id. Ties go to the smaller id. An empty table gives no rows.
+a null id take no part. Vectors of different lengths meet only their like. Rows equal in id and vector are
+one candidate and one query; those of one id and several vectors are as many. A query never finds its
+own id. Ties go to the smaller id. An empty table gives no rows. Other columns are ignored; there are no texts.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import Scratch, few, table
+from bindery.llm.common import Scratch, few, lean, table
 
 SHARD, QUERY_BLOCK = 8192, 512
 WIDTH, CANDIDATES = 32, 64
@@ -34,7 +35,7 @@ WIDTH, CANDIDATES = 32, 64
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(id, v, dim) of the rows that take part."""
-    df = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<float>").alias("v"))
+    df = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return df.where("id is not null and v is not null").where(~odd).where(F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
 
@@ -106,17 +107,17 @@ class Graph:
 
     def pack(self) -> list[bytes]:
         sizes = np.array([len(n) for n in self.nodes], np.int32)
-        return [self.x.tobytes(), sizes.tobytes(), b"".join(n.tobytes() for n in self.nodes), b"".join(a.tobytes() for a in self.links)]
+        return [sizes.tobytes(), b"".join(n.tobytes() for n in self.nodes), b"".join(a.tobytes() for a in self.links)]
 
     @classmethod
-    def unpack(cls, dim: int, x: bytes, sizes: bytes, nodes: bytes, links: bytes) -> Graph:
+    def unpack(cls, x: np.ndarray, sizes: bytes, nodes: bytes, links: bytes) -> Graph:
         sizes, flat = np.frombuffer(sizes, np.int32), np.frombuffer(links, np.int32)
         own, at, out = np.split(np.frombuffer(nodes, np.int32), np.cumsum(sizes)[:-1]), 0, []
         for k, n in enumerate(sizes):
             w = 2 * (WIDTH if k == 0 else WIDTH // 2)
             out.append(flat[at : at + n * w].reshape(n, w))
             at += n * w
-        return cls(np.frombuffer(x, np.float32).reshape(-1, dim), own, out)
+        return cls(x.astype(np.float32), own, out)
 
     def search(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, similarities) of up to ``ef`` near nodes for each query; -1 where there are fewer."""
@@ -169,22 +170,23 @@ class Graph:
 
 def build_index(vectors: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """One row per shard: (dim, shard, x, sizes, nodes, links, ids, ends), from ``vectors`` (id, v, dim)."""
-    first = Window.partitionBy("dim", "v").orderBy("id")
-    nodes = vectors.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
+    nodes = vectors.select("dim", "v", "id").distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+    for by in (["dim", "v", "salt"], ["dim", "v"]):  # first the least of each salted group, then of these
+        nodes = nodes.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("r") <= k + 1).drop("r")
     nodes = nodes.groupBy("dim", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    nodes = scratch.keep(nodes)
+    nodes = scratch.table(nodes, "nodes")
     shards = nodes.groupBy("dim").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
     dealt = nodes.join(F.broadcast(shards), "dim").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))
 
     def build(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         dim = t.column("dim")[0].as_py()
-        x = t.column("v").combine_chunks().flatten().to_numpy().astype(np.float32).reshape(-1, dim)
+        x = t.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dim)
         order = np.lexsort(x.T[::-1])
         lists = t.column("ids").take(pa.array(order)).combine_chunks()
         ids = lists.flatten().to_numpy()
         ends = np.cumsum(lists.value_lengths().to_numpy()).astype(np.int64)
-        row = [[dim], [t.column("shard")[0].as_py()], [t.column("shards")[0].as_py()], *([b] for b in Graph.build(x[order]).pack()), [ids.tobytes()], [ends.tobytes()]]
+        row = [[dim], [t.column("shard")[0].as_py()], [t.column("shards")[0].as_py()], [x[order].tobytes()], *([b] for b in Graph.build(x[order].astype(np.float32)).pack()), [ids.tobytes()], [ends.tobytes()]]
         return pa.table([pa.array(c, kind) for c, kind in zip(row, [pa.int32()] * 3 + [pa.binary()] * 6)], names=names)
 
     names = ["dim", "shard", "shards", "x", "sizes", "nodes", "links", "ids", "ends"]
@@ -200,22 +202,24 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, ef: int = 160)
 
     def gather(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        q = t.column("v").combine_chunks().flatten().to_numpy().astype(np.float32)
-        return pa.table([pa.array([t.column("dim")[0].as_py()], pa.int32()), pa.array([t.column("id").to_numpy().tobytes()]), pa.array([q.tobytes()])], names=["dim", "query_ids", "q"])
+        q = t.column("v").combine_chunks().flatten().to_numpy().astype(np.float64)
+        return pa.table([pa.array([t.column("dim")[0].as_py()], pa.int32()), pa.array([t.column("id").to_numpy().tobytes()]), pa.array([t.column("key").to_numpy().tobytes()]), pa.array([q.tobytes()])], names=["dim", "query_ids", "query_keys", "q"])
 
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("dim", "block").applyInArrow(gather, "dim int, query_ids binary, q binary")
+    asked = queries.select("id", "v", "dim").distinct().withColumn("key", F.xxhash64("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("dim", "block").applyInArrow(gather, "dim int, query_ids binary, query_keys binary, q binary")
     shards = index.groupBy("dim").agg(F.first("shards").alias("n"))
-    asked = asked.join(F.broadcast(shards), "dim").select("dim", "query_ids", "q", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("shard"))
+    asked = asked.join(F.broadcast(shards), "dim").select("dim", "query_ids", "query_keys", "q", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("shard"))
 
+    @lean
     def search(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                graph = Graph.unpack(r["dim"], r["x"], r["sizes"], r["nodes"], r["links"])
-                own = np.frombuffer(r["query_ids"], np.int64)
-                q = np.frombuffer(r["q"], np.float32).reshape(-1, r["dim"])
+                x = np.frombuffer(r["x"], np.float64).reshape(-1, r["dim"])
+                graph = Graph.unpack(x, r["sizes"], r["nodes"], r["links"])
+                own, keys = np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["query_keys"], np.int64)
+                q = np.frombuffer(r["q"], np.float64).reshape(-1, r["dim"])
                 ids, ends = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ends"], np.int64)
-                found, _ = graph.search(q, max(ef, 2 * k))
-                exact = np.where(found >= 0, np.einsum("qd,qwd->qw", q.astype(np.float64), graph.x[found].astype(np.float64)), -np.inf)
+                found, _ = graph.search(q.astype(np.float32), max(ef, 2 * k))
+                exact = np.where(found >= 0, np.einsum("qd,qwd->qw", q, x[found]), -np.inf)
                 node = np.where(found >= 0, found, 0)
                 counts = np.where(found >= 0, ends[node] - np.where(node > 0, ends[node - 1], 0), 0)
                 row, col = np.nonzero(counts)
@@ -229,11 +233,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, ef: int = 160)
                 who, score, vec = who[order], score[order], vec[order]
                 rank = np.arange(len(who)) - np.searchsorted(who, who)
                 top = rank < k
-                yield pa.record_batch([pa.array(own[who[top]]), pa.array(vec[top]), pa.array(score[top])], names=["query_id", "vec_id", "score"])
+                yield pa.record_batch([pa.array(own[who[top]]), pa.array(keys[who[top]]), pa.array(vec[top]), pa.array(score[top])], names=["query_id", "key", "vec_id", "score"])
 
     pairs = asked.join(index.drop("shards"), ["dim", "shard"])
-    results = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    results = pairs.mapInArrow(search, "query_id long, key long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "key").orderBy(F.col("score").desc(), "vec_id")
     merged = results.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return few(merged.select("query_id", "rank", "vec_id", "score"))
 
