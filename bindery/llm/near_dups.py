@@ -15,8 +15,8 @@ which settles most pairs of a large group of loose copies without a look. No key
 capped or dropped.
 
 Nulls: a null text, or one without words, has an empty set and no links. A null doc_id is linked with
-nothing and kept. Rows of one doc_id count as one document. An empty table gives no rows. Other
-columns are ignored.
+nothing and kept. Rows of one doc_id count as one document, with the links of all its texts. An empty
+table gives no rows. Very long texts are hashed block by block, whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import Scratch, few, lean, small, table
+from bindery.llm.common import Scratch, few, lean, parts, small, table
 from bindery.llm.components import components
 from bindery.llm.tokens import ragged
 from bindery.llm.words import Words, gram_counts, gram_hashes, mix, text_blocks
@@ -89,6 +89,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     return flat[new], distinct
 
 
+def _identity(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that tell each set from any other, as two halves."""
+    full = np.flatnonzero(counts)
+    out = np.zeros((2, len(counts)), np.uint64)
+    if len(full):
+        for k in (0, 1):
+            out[k, full] = np.add.reduceat(mix(flat ^ _XOR[-1 - k]), (np.cumsum(counts) - counts)[full])
+    return out[0], out[1]
+
+
 def signatures(docs: DataFrame, how: Near) -> DataFrame:
     """(doc_id, n_shingles, hi, lo, signature); (hi, lo) identifies the set, all null without shingles."""
 
@@ -99,11 +109,9 @@ def signatures(docs: DataFrame, how: Near) -> DataFrame:
                 flat, counts = shingle_sets(data, offsets, how.words)
                 full = np.flatnonzero(counts)
                 at = (np.cumsum(counts) - counts)[full]
-                hi, lo = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
+                hi, lo = _identity(flat, counts)
                 values = np.zeros((j - i, how.positions), np.uint16)
                 if len(full):
-                    hi[full] = np.add.reduceat(mix(flat ^ _XOR[-1]), at)
-                    lo[full] = np.add.reduceat(mix(flat ^ _XOR[-2]), at)
                     for k in range(how.positions):
                         values[full, k] = mix(np.minimum.reduceat((flat ^ _XOR[k]) * _ODD[k], at)).astype(np.uint16)
                 absent = counts == 0
@@ -146,32 +154,34 @@ def chunk_keys(nodes: DataFrame, how: Near) -> DataFrame:
     return nodes.select("node", "size", "signature").mapInArrow(keys, "key long, node long, size int")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, how: Near) -> DataFrame:
-    """(node, shingles) of the documents whose ids are in ``wanted`` (doc_id), a written table."""
+def _sets(docs: DataFrame, wanted: DataFrame, how: Near, name: str = "shingles") -> DataFrame:
+    """(node, shingles) of ``wanted`` (node, d, hi, lo), a written table; a set is read from a row of doc_id d that has it."""
 
     @lean
     def sets(batches):
         for batch in batches:
             for i, j, data, offsets in text_blocks(batch.column("text")):
                 flat, counts = shingle_sets(data, offsets, how.words)
-                ends = np.cumsum(counts)
-                yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.array([flat[e - n : e].tobytes() for e, n in zip(ends, counts)], pa.binary())], names=["node", "shingles"])
+                hi, lo = _identity(flat, counts)
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64)))
+                yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.array(hi.astype(np.int64)), pa.array(lo.astype(np.int64)), lists], names=["d", "hi", "lo", "shingles"])
 
-    return _texts(docs).join(small(wanted), "doc_id", "left_semi").mapInArrow(sets, "node long, shingles binary")
+    texts = _texts(docs).join(small(wanted.select(F.col("d").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    each = texts.mapInArrow(sets, "d long, hi long, lo long, shingles array<long>")
+    return each.join(small(wanted), ["d", "hi", "lo"]).select("node", "shingles")
 
 
 def _own(docs: DataFrame, wanted: DataFrame, how: Near) -> DataFrame:
-    """(node, own): how many shingles each of these documents has that none of the others has."""
+    """(node, own): how many shingles each of these sets has that none of the others has."""
+    each = _sets(docs, wanted, how).select("node", F.explode("shingles").alias("h"))
+    return each.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count("*").cast("int").alias("own"))
 
-    @lean
-    def rows(batches):
-        for batch in batches:
-            for node, x in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist()):
-                h = np.frombuffer(x, np.int64)
-                yield pa.record_batch([pa.array(h), pa.array(np.full(len(h), node))], names=["h", "node"])
 
-    each = _sets(docs, wanted, how).mapInArrow(rows, "h long, node long")
-    return each.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count("*").cast("int").alias("own"))
+def _lists(column) -> list[np.ndarray]:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat, ends = column.flatten().to_numpy().view(np.uint64), np.cumsum(column.value_lengths().to_numpy())
+    return np.split(flat, ends[:-1]) if len(ends) else []
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Near, scratch: Scratch, name: str) -> DataFrame:
@@ -187,16 +197,14 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Near, scra
     signed = nodes.select("node", "signature")
     close = pairs.join(signed.withColumnsRenamed({"node": "u", "signature": "su"}), "u").join(signed.withColumnsRenamed({"node": "v", "signature": "sv"}), "v")
     close = scratch.table(few(close.select("u", "v", "su", "sv").mapInArrow(near, "u long, v long")), f"{name}-close")
-    wanted = scratch.table(few(close.select(F.col("u").alias("doc_id")).union(close.select("v")).distinct()), f"{name}-wanted")
-
+    wanted = _places(close.select(F.col("u").alias("node")).union(close.select("v")), nodes, scratch, f"{name}-wanted")
     full = scratch.table(few(_sets(docs, wanted, how).dropDuplicates(["node"])), f"{name}-sets")
 
     @lean
     def confirm(batches):
         for batch in batches:
             hit = []
-            for a, b in zip(batch.column("a"), batch.column("b")):
-                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+            for a, b in zip(_lists(batch.column("a")), _lists(batch.column("b"))):
                 both = np.concatenate([a, b])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
@@ -208,6 +216,11 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Near, scra
     return links
 
 
+def _places(wanted: DataFrame, nodes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, d, hi, lo) of the nodes in ``wanted`` (node)."""
+    return scratch.table(few(nodes.select("node", "d", "hi", "lo").join(wanted.distinct(), "node", "left_semi")), name)
+
+
 def _like(a: str, b: str, how: Near, own_a: str = "0", own_b: str = "0"):
     """Sets whose sizes, less what each has alone, differ more than this can't be similar enough."""
     return F.expr(f"100L * least({a} - {own_a}, {b} - {own_b}) >= {how.percent}L * greatest({a} + {own_b}, {b} + {own_a})")
@@ -230,7 +243,7 @@ def _blocks(members: DataFrame, nodes: DataFrame, docs: DataFrame, how: Near, sc
     edges = members.groupBy("key").agg(F.min("node").alias("v")).join(members.select("key", F.col("node").alias("u")), "key").select("u", "v").distinct()
     families = scratch.table(few(components(edges, scratch, "families")), "families").select("node", F.col("component").alias("family"))
     one = members.groupBy("node").agg(F.first("size").alias("size"), F.first("own").alias("own"), F.first("component").alias("component"))
-    wanted = scratch.table(few(families.select(F.col("node").alias("doc_id"))), "blocks-wanted")
+    wanted = _places(families.select("node"), nodes, scratch, "blocks-wanted")
     sets = _sets(docs, wanted, how).dropDuplicates(["node"])
     counts = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     full = one.join(families, "node").join(small(scratch.table(few(counts), "blocks-counts")), "family").join(nodes.select("node", "signature"), "node").join(sets, "node")
@@ -243,7 +256,7 @@ def _blocks(members: DataFrame, nodes: DataFrame, docs: DataFrame, how: Near, sc
         node, size, own, component, block = (t.column(c).to_numpy().astype(np.int64) for c in ("node", "size", "own", "component", "block"))
         left, right = (np.flatnonzero(block == t.column(c)[0].as_py()) for c in ("i", "j"))
         signature = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16).reshape(-1, how.positions)
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        sets = _lists(t.column("shingles"))
         out: list[tuple[int, int]] = []
         for x in left:
             y = right[(component[right] != component[x]) & (node[right] > node[x] if left[0] == right[0] else True)]
@@ -267,20 +280,25 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "near")
     signed = scratch.table(few(signatures(docs, how)), "signatures")
-    nodes = scratch.table(
-        few(signed.where("hi is not null and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.first("n_shingles").cast("int").alias("size"), F.first("signature").alias("signature"))),
-        "nodes",
-    )
-    keyed = chunk_keys(nodes, how)
+    sets = signed.where("hi is not null and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("d"), F.first("n_shingles").cast("int").alias("size"), F.first("signature").alias("signature"))
+    # a set is named by its smallest doc_id; where rows of one doc_id have several texts, the further sets by a negative hash
+    further = F.row_number().over(Window.partitionBy("d").orderBy("hi", "lo")) > 1
+    named = F.when(further, F.bitwise_not(F.xxhash64("hi", "lo").bitwiseAND(F.lit(2**62 - 1)))).otherwise(F.col("d"))
+    nodes = scratch.table(few(sets.withColumn("node", named)), "nodes")
+    # and all sets of a doc_id belong together
+    several = signed.where("hi is not null and doc_id is not null").select("doc_id", "hi", "lo").distinct().withColumn("n", F.count("*").over(Window.partitionBy("doc_id"))).where("n > 1")
+    several = several.join(nodes.select("node", "hi", "lo"), ["hi", "lo"])
+    several = scratch.table(few(several.groupBy("doc_id").agg(F.min("node").alias("u")).join(several.select("doc_id", F.col("node").alias("v")), "doc_id").where("u <> v").select("u", "v")), "several")
+    keyed = chunk_keys(nodes.repartition(parts(docs.sparkSession)), how)
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("p")).where("n > 1").select("key", "n", F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size"))
     members = scratch.table(few(keyed.join(shared, "key")), "members")
 
     pairs = members.where(F.col("node") != F.col("pivot")).where(_like("size", "pivot_size", how)).select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
-    links = _linked(pairs, nodes, docs, how, scratch, "round1")
+    links = _linked(pairs, nodes, docs, how, scratch, "round1").unionByName(several)
     joined = scratch.table(few(components(links, scratch, "round1")), "components1")
     # a few pivots of each key, alike in all keys, meet the other components: most of what belongs together merges
     unsettled = _unsettled(members.select("key", "node", "size"), joined, scratch, "open1")
-    own = scratch.table(few(_own(docs, scratch.table(few(unsettled.select(F.col("node").alias("doc_id")).distinct()), "open"), how)), "own")
+    own = scratch.table(few(_own(docs, _places(unsettled.select("node"), nodes, scratch, "open"), how)), "own")
     now = unsettled.join(own, "node", "left").fillna(0, ["own"])
     order = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
     ranked = scratch.table(few(now.withColumn("rank", F.row_number().over(order))), "ranked")
@@ -291,7 +309,8 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
     # the rest in blocks
     links = links.unionByName(_blocks(_unsettled(ranked.select("key", "node", "size", "own"), joined, scratch, "open2"), nodes, docs, how, scratch))
     joined = scratch.table(few(components(links, scratch, "round3")), "components3")
-    of_set = scratch.table(few(nodes.join(joined, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component_id"))), "sets")
+    of_set = scratch.table(few(nodes.join(joined, "node", "left").select("hi", "lo", "d", F.coalesce("component", "node").alias("component"))), "sets")
+    of_set = of_set.join(of_set.groupBy("component").agg(F.min("d").alias("component_id")), "component").drop("d", "component")
     out = signed.select("doc_id", "n_shingles", "hi", "lo").join(of_set, ["hi", "lo"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
