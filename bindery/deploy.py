@@ -13,9 +13,10 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Sends the package to the workers as a zip file, once per application, and bounds the batches they get."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key) in ("67108864b", "67108864", "64MB"):  # Spark's default, too much for rows of long texts
-        spark.conf.set(key, "16777216")
+    # Spark's defaults are too much for rows of long texts: arrays of many megabytes for each batch of a column
+    for key, default, own in (("spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "67108864", "64MB"), "4194304"), ("spark.sql.parquet.columnarReaderBatchSize", ("4096",), "512")):
+        if spark.conf.get(key) in default:
+            spark.conf.set(key, own)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
