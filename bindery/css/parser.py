@@ -14,8 +14,12 @@ from dataclasses import dataclass, field
 UNDERSTOOD, REMOVE_ERRORS, REMOVE_INVALID, ORIGINAL = "understood", "remove_errors", "remove_invalid", "original"
 
 #: Directives whose body holds rules, or properties; all others have none.
-RULE_DIRECTIVES = ["media", "supports", "document", "keyframes", "-webkit-keyframes", "-moz-keyframes", "-o-keyframes", "-ms-keyframes"]
-PROPERTY_DIRECTIVES = ["font-face", "page", "viewport", "-ms-viewport", "-o-viewport", "counter-style"]
+RULE_DIRECTIVES = ["media", "supports", "document", "-moz-document", "host", "keyframes", "-webkit-keyframes", "-moz-keyframes", "-o-keyframes", "-ms-keyframes"]
+PROPERTY_DIRECTIVES = [
+    "font-face", "page", "viewport", "-ms-viewport", "-moz-viewport", "-o-viewport", "-webkit-viewport", "counter", "counter-style", "string",
+    "top-left-corner", "top-left", "top-center", "top-right", "top-right-corner", "bottom-left-corner", "bottom-left", "bottom-center", "bottom-right", "bottom-right-corner",
+    "left-top", "left-middle", "left-bottom", "right-top", "right-middle", "right-bottom",
+]
 
 NAME = re.compile(r"-{0,2}[A-Za-zÀ-ÿ_\\][\w\-\\À-ÿ]*")
 NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:%|[A-Za-z]+)?")
@@ -277,6 +281,10 @@ class _Reader:
     def properties(self, i: int, end: int) -> list[Node]:
         out = []
         while (i := self.space(i, end)) < end:
+            if self.text[i] == "@":
+                node, i = self.directive(i, end)
+                out.append(node)
+                continue
             stop = self.until(i, end, ";{")
             if stop < end and self.text[stop] == "{":
                 close = min(self.block_end(stop, end) + 1, end)

@@ -60,15 +60,15 @@ def palmdoc_decompress(data: bytes) -> bytes:
             distance, length = pair >> 3 & 0x7FF, (pair & 7) + 3
             if not 0 < distance <= len(out):
                 raise ValueError("a back reference leaves the record")
-            for _ in range(length):
-                out.append(out[-distance])
+            unit = bytes(out[-distance:][:length])
+            out += (unit * (length // len(unit) + 1))[:length]
     return bytes(out)
 
 
 def palmdoc_compress(data: bytes) -> bytes:
     """Back references of 3 to 10 bytes from the last 2047, space pairs, literals."""
     out, i, n = bytearray(), 0, len(data)
-    recent: dict[bytes, int] = {}
+    recent: dict[bytes, int] = {}  # where three bytes were last begun with
     pending = bytearray()
 
     def flush() -> None:
@@ -79,28 +79,33 @@ def palmdoc_compress(data: bytes) -> bytes:
         pending.clear()
 
     while i < n:
-        at = recent.get(data[i : i + 3], -1)
-        step = 1
-        if i + 3 <= n and 0 <= at and i - at <= 2047:
-            length = 3
-            while length < 10 and i + length < n and data[at + length] == data[i + length]:
-                length += 1
-            flush()
+        three = data[i : i + 3]
+        at = recent.get(three, -1)
+        recent[three] = i
+        if at >= 0 and i - at <= 2047 and len(three) == 3:
+            length = min(10, n - i)
+            while data[at : at + length] != data[i : i + length]:
+                length -= 1
+            if pending:
+                flush()
             pair = 0x8000 | i - at << 3 | length - 3
-            out += struct.pack(">H", pair)
-            step = length
-        elif data[i] == 32 and i + 1 < n and 0x40 <= data[i + 1] < 0x80:
-            flush()
-            out.append(data[i + 1] ^ 0x80)
-            step = 2
-        elif data[i] == 0 or 9 <= data[i] < 0x80:
-            flush()
-            out.append(data[i])
+            out += bytes((pair >> 8, pair & 255))
+            i += length
+            continue
+        c = three[0]
+        if c == 32 and len(three) > 1 and 0x40 <= three[1] < 0x80:
+            if pending:
+                flush()
+            out.append(three[1] ^ 0x80)
+            i += 2
+            continue
+        if c == 0 or 9 <= c < 0x80:
+            if pending:
+                flush()
+            out.append(c)
         else:
-            pending.append(data[i])
-        for k in range(i, min(i + step, n - 2)):
-            recent[data[k : k + 3]] = k
-        i += step
+            pending.append(c)
+        i += 1
     flush()
     return bytes(out)
 

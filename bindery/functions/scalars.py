@@ -233,7 +233,7 @@ def big_endian(data, offset: int, size: int, signed: bool = False) -> Column:
     part = F.substring(_lit(data), offset + 1, size)
     value = F.conv(F.hex(part), 16, 10).cast("decimal(20,0)")
     if signed:
-        value = F.when(value >= F.lit(2 ** (8 * size - 1)).cast("decimal(20,0)"), value - F.lit(2 ** (8 * size)).cast("decimal(20,0)")).otherwise(value).cast("decimal(20,0)")
+        value = F.when(value >= F.lit(str(2 ** (8 * size - 1))).cast("decimal(20,0)"), value - F.lit(str(2 ** (8 * size))).cast("decimal(20,0)")).otherwise(value).cast("decimal(20,0)")
     return F.when(F.octet_length(part) == size, value)
 
 

@@ -18,6 +18,15 @@ def byte_slice(content: Column, start: Column, end: Column) -> Column:
     return F.substring(content, (start + 1).cast("int"), (end - start).cast("int"))
 
 
+def content_slices(starts: DataFrame, contents: DataFrame, group: str, start: str, content: str) -> DataFrame:
+    """(group, start, slice): each group's content cut at its starts. The content meets them once, in one row, and is cut there."""
+    places = starts.groupBy(group).agg(F.sort_array(F.collect_set(F.col(start).cast("long"))).alias("_starts"))
+    joined = contents.join(places, group)
+    following = lambda i: F.coalesce(F.get("_starts", i + 1), F.octet_length(content).cast("long"))
+    cut = F.transform("_starts", lambda a, i: F.struct(a.alias("start"), F.substring(F.col(content), (a + 1).cast("int"), (following(i) - a).cast("int")).alias("slice")))
+    return joined.select(group, F.explode(cut).alias("_s")).select(group, F.col("_s.start").alias(start), F.col("_s.slice").alias("slice"))
+
+
 def running_offset(df: DataFrame, group: str | list[str], order: str | list[str], length: Column, base=0, name: str = "offset") -> DataFrame:
     """Where each row starts if the rows of a group stand end to end from ``base``."""
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -86,17 +95,17 @@ def nav_points(points: DataFrame) -> DataFrame:
     return kept.withColumn("src", F.substring_index("src", "#", 1)).orderBy("play_order")
 
 
-def suffix_match(names: DataFrame, suffixes: DataFrame, name: str, suffix: str, order: str, min_length: int = 1, max_length: int = 256) -> DataFrame:
-    """For each suffix the first name, by ``order``, that ends with it.
+def suffix_match(names: DataFrame, suffixes: DataFrame, name: str, suffix: str, order: str, group: str | None = None) -> DataFrame:
+    """For each suffix the first name, by ``order``, that ends with it; of the same ``group`` if one is given.
 
     Names are exploded to their endings of the lengths that occur among the suffixes, so the join is on equality.
     """
-    lengths = suffixes.select(F.length(suffix).alias("_n")).where(F.col("_n").between(min_length, max_length)).distinct()
-    kinds = lengths.agg(F.sort_array(F.collect_set("_n")).alias("_lengths"))
-    endings = names.join(F.broadcast(kinds)).select(name, order, F.explode("_lengths").alias("_n")).where(F.length(name) >= F.col("_n"))
-    endings = endings.withColumn("_end", F.expr(f"right({name}, _n)"))
-    first = endings.groupBy("_end").agg(F.min_by(name, order).alias(name))
-    return suffixes.join(first, F.col(suffix) == F.col("_end"), "left").drop("_end")
+    by = [group] if group else []
+    kinds = suffixes.agg(F.sort_array(F.collect_set(F.length(suffix))).alias("_lengths"))  # a number for each length that occurs
+    endings = names.join(F.broadcast(kinds)).select(*by, name, order, F.explode(F.filter("_lengths", lambda n: n <= F.length(name))).alias("_n"))
+    endings = endings.withColumn("_end", F.when(F.col("_n") > 0, F.expr(f"right({name}, _n)")).otherwise(F.lit("")))
+    first = endings.groupBy(*by, "_end").agg(F.min_by(name, order).alias(name))
+    return suffixes.withColumn("_end", F.col(suffix)).join(first, [*by, "_end"], "left").drop("_end")
 
 
 def chapter_offsets(chapters: DataFrame, group: str, order: str, html: str, base: int = 0) -> DataFrame:

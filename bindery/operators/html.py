@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -22,6 +23,7 @@ class _Nodes(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
         self.open: list[int] = []
+        self.tags: dict[int, tuple[int, int]] = {}  # the bytes of each element's start tag
         self.lines = [0]
         for line in html.split("\n"):
             self.lines.append(self.lines[-1] + len(line) + 1)
@@ -42,6 +44,7 @@ class _Nodes(HTMLParser):
         number = len(self.rows)
         at = self.place()
         self.rows.append([number, self.open[-1] if self.open else None, len(self.open), tag, {k: v or "" for k, v in reversed(attrs)}, "", at, at])
+        self.tags[number] = at, at + len((self.get_starttag_text() or "").encode())
         if tag not in VOID:
             self.open.append(number)
         else:
@@ -128,11 +131,11 @@ def rewrite_links(links: DataFrame, ids: DataFrame, qualify: bool = True) -> Dat
 
 
 def image_names(nodes: DataFrame, names: DataFrame) -> DataFrame:
-    """Images (doc_id, node_no, src) with new_src: the ordinal of the manifest's file (name, ord) of the same basename."""
-    lookup = names.select(F.regexp_extract("name", r"([^/\\]*)$", 1).alias("_base"), F.concat(F.lpad(F.col("ord").cast("string"), 5, "0"), F.lit(".jpg")).alias("_new"))
-    lookup = lookup.groupBy("_base").agg(F.min("_new").alias("_new"))
+    """Images (doc_id, node_no, src) with new_src: the ordinal of the file (doc_id, name, ord) of the same book and basename."""
+    lookup = names.select("doc_id", F.regexp_extract("name", r"([^/\\]*)$", 1).alias("_base"), F.concat(F.lpad(F.col("ord").cast("string"), 5, "0"), F.lit(".jpg")).alias("_new"))
+    lookup = lookup.groupBy("doc_id", "_base").agg(F.min("_new").alias("_new"))
     own = images(nodes).withColumn("_base", F.regexp_extract("src", r"([^/\\]*)$", 1))
-    return own.join(lookup, "_base", "left").select("doc_id", "node_no", "src", F.coalesce("_new", "src").alias("new_src"))
+    return own.join(lookup, ["doc_id", "_base"], "left").select("doc_id", "node_no", "src", F.coalesce("_new", "src").alias("new_src"))
 
 
 def mobi_attributes(nodes: DataFrame, positions: DataFrame) -> DataFrame:
@@ -152,9 +155,9 @@ def mobi_attributes(nodes: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 def builder_attributes(nodes: DataFrame, images_by_name: DataFrame) -> DataFrame:
-    """Nodes as the MOBI writer wants them: images by record index (name, ord), anchors with a position to fill in."""
-    names = images_by_name.select(F.col("name").alias("_src"), F.lpad(F.col("ord").cast("string"), 5, "0").alias("_rec")).groupBy("_src").agg(F.min("_rec").alias("_rec"))
-    joined = nodes.withColumn("_src", F.when(F.col("tag") == "img", F.col("attrs")["src"])).join(names, "_src", "left")
+    """Nodes as the MOBI writer wants them: images by record index (doc_id, name, ord), anchors with a position to fill in."""
+    names = images_by_name.select("doc_id", F.col("name").alias("_src"), F.lpad(F.col("ord").cast("string"), 5, "0").alias("_rec")).groupBy("doc_id", "_src").agg(F.min("_rec").alias("_rec"))
+    joined = nodes.withColumn("_src", F.when(F.col("tag") == "img", F.col("attrs")["src"])).join(names, ["doc_id", "_src"], "left")
     image = F.map_concat(F.map_filter("attrs", lambda k, v: ~k.isin("src", "recindex")), F.create_map(F.lit("recindex"), F.col("_rec")))
     link = F.map_concat(F.map_filter("attrs", lambda k, v: k != "filepos"), F.create_map(F.lit("filepos"), F.lit("0000000000")))
     attrs = F.when(F.col("_rec").isNotNull(), image).when((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull(), link).otherwise(F.col("attrs"))
@@ -168,6 +171,55 @@ def resolve_filepos(nodes: DataFrame) -> DataFrame:
     return links.join(ids, ["doc_id", "_id"], "left").select("doc_id", "node_no", F.lpad(F.coalesce("_pos", F.lit(0)).cast("string"), 10, "0").alias("filepos"))
 
 
+def start_tag(tag: str, attrs: dict[str, str], closed: bool = False) -> str:
+    return f"<{tag}" + "".join(f' {k}="{escape(v)}"' for k, v in attrs.items()) + (" />" if closed else ">")
+
+
+def put_attributes(html: str, changed: dict[int, dict[str, str]], removed: set[int] = frozenset()) -> str:
+    """The source with new attributes in the start tags of some elements, and without the tags of others; all else stays as it is."""
+    found = _Nodes(html)
+    data, out, at = html.encode(), [], 0
+    for number, (a, b) in found.tags.items():
+        if number in changed or number in removed:
+            out.append(data[at:a])
+            if number not in removed:
+                out.append(start_tag(found.rows[number][3], changed[number], data[a:b].endswith(b"/>")).encode())
+            at = b
+    return (b"".join(out) + data[at:]).decode()
+
+
+def written_back(docs: DataFrame, key: str, html: str, changed: DataFrame) -> DataFrame:
+    """``docs`` (key, html) with the attributes of ``changed`` (doc_id, node_no, attrs) in their source; attrs null removes the tag."""
+    changes = changed.groupBy("doc_id").agg(F.collect_list(F.struct("node_no", "attrs")).alias("_changes"))
+    joined = docs.select(F.col(key).cast("string").alias("doc_id"), F.col(html).alias("html")).join(changes, "doc_id", "left")
+
+    @F.pandas_udf("string")
+    def put(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        out = []
+        for text, own in zip(texts, lists):
+            rows = [] if own is None else list(own)
+            attrs = {r["node_no"]: dict(r["attrs"]) for r in rows if r["attrs"] is not None}
+            out.append(None if text is None else put_attributes(text, attrs, {r["node_no"] for r in rows if r["attrs"] is None}))
+        return pd.Series(out, dtype=object)
+
+    return joined.select("doc_id", put("html", "_changes").alias("html"))
+
+
+def process_html(docs: DataFrame, key: str, html: str, names: DataFrame) -> DataFrame:
+    """Each document's source with links to its own renumbered ids, images by the ordinals of ``names`` (doc_id, name, ord), no page breaks."""
+    nodes = html_nodes(docs, key, html)
+    ids = numbered_ids(nodes)
+    links = rewrite_links(anchors(nodes).select("doc_id", "node_no", "href"), ids).where("new_href <> href").select("doc_id", "node_no", F.lit("href").alias("k"), F.col("new_href").alias("v"))
+    pictures = image_names(nodes, names).where("new_src <> src").select("doc_id", "node_no", F.lit("src").alias("k"), F.col("new_src").alias("v"))
+    own = nodes.where(F.col("attrs")["id"].isNotNull()).select("doc_id", "node_no", F.col("attrs")["id"].alias("old_id"))
+    own = own.join(ids.groupBy("doc_id", "old_id").agg(F.min("new_id").alias("v")), ["doc_id", "old_id"]).select("doc_id", "node_no", F.lit("id").alias("k"), "v")
+    new = links.unionByName(pictures).unionByName(own).groupBy("doc_id", "node_no").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_new"))
+    merged = F.map_concat(F.map_filter("attrs", lambda k, v: ~F.map_contains_key("_new", k)), F.col("_new"))
+    changed = nodes.join(new, ["doc_id", "node_no"]).select("doc_id", "node_no", merged.alias("attrs"))
+    gone = nodes.where("tag = 'mbp:pagebreak'").select("doc_id", "node_no", F.lit(None).cast("map<string,string>").alias("attrs"))
+    return written_back(docs, key, html, changed.unionByName(gone))
+
+
 def candidate_selectors(nodes: DataFrame, bare_ids: bool = False) -> DataFrame:
     """(doc_id, node_no, selector): what a simple rule may call each element; ``bare_ids``: ids without their mark."""
     tag, own = F.col("tag"), F.col("attrs")["id"]

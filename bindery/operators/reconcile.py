@@ -146,8 +146,8 @@ def display_grid(df: DataFrame, hidden: list[str] = (), sort: str | None = None,
 
 
 def device_volumes(disks: DataFrame, disk_partitions: DataFrame, partition_volumes: DataFrame, vendor: str = "VEN_KINDLE") -> DataFrame:
-    """Volumes of the disks whose device id holds the vendor mark: disk (disk_id), links (disk_id, partition_id), (partition_id, volume)."""
-    return disks.where(F.col("disk_id").contains(vendor)).join(disk_partitions, "disk_id").join(partition_volumes, "partition_id")
+    """Volumes of the disks whose device id holds the vendor mark: disks (disk_id, device_id), links (disk_id, partition_id), (partition_id, volume)."""
+    return disks.where(F.col("device_id").contains(vendor)).join(disk_partitions, "disk_id").join(partition_volumes, "partition_id")
 
 
 # ------------------------------------------------------------------ plans of whole operations

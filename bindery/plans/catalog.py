@@ -274,10 +274,10 @@ WITH s AS (SELECT doc_id, line_no, line, coalesce(sum(strlen(line) + 1) OVER (PA
 SELECT doc_id, place::BIGINT AS start, sha256(line || CASE WHEN lead(place) OVER (PARTITION BY doc_id ORDER BY line_no) IS NULL THEN '' ELSE chr(10) END) AS digest FROM s
 """)
 def chapter_slices(t):
-    starts = C.running_offset(_lines(t), "doc_id", "line_no", F.octet_length("line") + 1, name="start")
-    joined = starts.join(t("documents").select("doc_id", F.encode("text", "UTF-8").alias("content")), "doc_id").withColumn("total", F.octet_length("content"))
-    ends = C.slice_ends(joined, "doc_id", "start", "total")
-    return ends.select("doc_id", F.col("start").cast("long").alias("start"), F.sha2(C.byte_slice(F.col("content"), F.col("start"), F.col("end")), 256).alias("digest"))
+    starts = C.running_offset(_lines(t).select("doc_id", "line_no", F.octet_length("line").alias("length")), "doc_id", "line_no", F.col("length") + 1, name="start")
+    return C.content_slices(starts, t("documents").select("doc_id", F.encode("text", "UTF-8").alias("content")), "doc_id", "start", "content").select(
+        "doc_id", "start", F.sha2("slice", 256).alias("digest")
+    )
 
 
 @query("""
@@ -331,6 +331,20 @@ def spine_manifest_ncx(t):
     return docs.join(labels, "l_suppkey", "left").select("book_id", "pos", "href", "label")
 
 
+@query("""
+WITH ncx AS (SELECT l_orderkey AS book_id, p_name AS src, min_by(s_name, l_linenumber) AS label
+             FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_suppkey % 2 = 0 GROUP BY l_orderkey, p_name)
+SELECT l_orderkey AS book_id, l_linenumber AS pos, p_name AS href, label
+FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN ncx ON l_orderkey = ncx.book_id AND p_name = ncx.src
+""")
+def spine_labels(t):
+    lines = t("lineitem").select(F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("idref"), "l_suppkey")
+    part = t("part").select(F.col("p_partkey").alias("idref"), F.col("p_name").alias("href"))
+    manifest = lines.select("book_id", "idref").distinct().join(part, "idref").select("book_id", F.col("idref").alias("id"), "href")
+    ncx = lines.join(part, "idref").join(t("supplier").where("s_suppkey % 2 = 0"), F.col("l_suppkey") == F.col("s_suppkey")).select("book_id", F.col("href").alias("src"), F.col("s_name").alias("label"), F.col("pos").alias("play_order"))
+    return C.spine_chapters(lines.select("book_id", "pos", "idref"), manifest, ncx).select("book_id", "pos", "href", "label")
+
+
 @query("""
 WITH s AS (SELECT DISTINCT right(p_name, 6) AS suffix FROM part)
 SELECT suffix, (SELECT arg_min(p_name, p_partkey) FROM part WHERE p_name LIKE '%' || suffix) AS name FROM s

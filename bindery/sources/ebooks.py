@@ -157,6 +157,41 @@ def book_records(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, RECORDS)
 
 
+HEADERS, EXTH_ROWS = "path string, field string, value long, error string", "path string, type int, value binary, error string"
+
+
+def _mobi_rows(files: DataFrame, schema: str, rows: Callable) -> DataFrame:
+    columns = [x.split()[0] for x in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from bindery.sources import mobi_format as M
+
+        for frame in frames:
+            out = []
+            for path, content in zip(frame.path, frame.content):
+                try:
+                    out += [(path, *r, None) for r in rows(M.read_headers(bytes(content)))]
+                except ValueError as e:
+                    out.append((path, None, None, str(e)))
+            table = pd.DataFrame(out, columns=columns)
+            for c, kind in (("type", "Int32"), ("value", "Int64")):
+                if f"{c} {'int' if c == 'type' else 'long'}" in schema:
+                    table[c] = table[c].astype(kind)
+            yield table
+
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def book_headers(files: DataFrame) -> DataFrame:
+    """(path, field, value): the numbers in the PDB, PalmDOC and MOBI headers of MOBI files."""
+    return _mobi_rows(files, HEADERS, lambda book: sorted(book.headers().items()))
+
+
+def exth_records(files: DataFrame) -> DataFrame:
+    """(path, type, value): the first EXTH record of each type."""
+    return _mobi_rows(files, EXTH_ROWS, lambda book: sorted(book.exth.items()))
+
+
 def stylesheets(files: DataFrame) -> DataFrame:
     """(path, css): an EPUB's sheets joined; blank for MOBI files of version 6 and before."""
 

@@ -14,6 +14,19 @@ FIELDS = {
     "header_length": 4, "mobi_type": 8, "encoding": 12, "unique_id": 16, "version": 20, "first_non_text": 64, "title_offset": 68, "title_length": 72,
     "locale": 76, "min_version": 88, "first_image": 92, "huff_record": 96, "huff_count": 100, "exth_flags": 112, "drm_offset": 152, "extra_flags": 226,
 }
+#: Further fields of the MOBI header, four bytes each.
+FURTHER_FIELDS = {
+    "orth_index": 24, "infl_index": 28, "index_names": 32, "index_keys": 36, "extra_index_0": 40, "extra_index_1": 44, "extra_index_2": 48, "extra_index_3": 52,
+    "extra_index_4": 56, "extra_index_5": 60, "input_language": 80, "output_language": 84, "huff_table_offset": 104, "huff_table_length": 108,
+    "drm_count": 156, "drm_size": 160, "drm_flags": 164, "fcis_record": 184, "fcis_count": 188, "flis_record": 192, "flis_count": 196,
+    "srcs_record": 208, "srcs_count": 212, "index_record": 228,
+}
+#: Fields of the PDB header and, from its own start, of the PalmDOC header.
+PDB_FIELDS = {
+    "attributes": (32, ">H"), "pdb_version": (34, ">H"), "created": (36, ">L"), "modified": (40, ">L"), "backed_up": (44, ">L"), "modification_number": (48, ">L"),
+    "app_info_offset": (52, ">L"), "sort_info_offset": (56, ">L"), "uid_seed": (68, ">L"), "next_record_list": (72, ">L"),
+}
+PALMDOC_FIELDS = {"compression": (0, ">H"), "text_length": (4, ">L"), "text_records": (8, ">H"), "record_size": (10, ">H"), "encryption": (12, ">H")}
 NULL = 0xFFFFFFFF
 
 
@@ -40,6 +53,16 @@ class Mobi:
         end = self.offsets[n + 1] if n + 1 < len(self.offsets) else len(self.data)
         return self.data[self.offsets[n] : end]
 
+    def headers(self) -> dict[str, int]:
+        """All numbers in the headers, by name."""
+        at = self.offsets[0]
+        pdb = {k: struct.unpack_from(kind, self.data, offset)[0] for k, (offset, kind) in PDB_FIELDS.items()}
+        palmdoc = {k: struct.unpack_from(kind, self.data, at + offset)[0] for k, (offset, kind) in PALMDOC_FIELDS.items()}
+        head, length = at + 16, self.fields["header_length"]
+        further = {k: struct.unpack_from(">L", self.data, head + offset)[0] for k, offset in FURTHER_FIELDS.items() if offset + 4 <= length and head + offset + 4 <= len(self.data)}
+        flags = {"has_exth": int(bool(self.fields["exth_flags"] & 0x40)), "has_drm": int(self.fields["drm_offset"] not in (0, NULL)), "records": len(self.offsets), "exth_records": len(self.exth)}
+        return {**pdb, **palmdoc, **self.fields, **further, **flags}
+
     @property
     def codec(self) -> str:
         kind = self.fields["encoding"]
