@@ -126,8 +126,11 @@ def held(key, make):
 def let_go() -> None:
     """Drops what other stages held."""
     stage = _stage()
-    for key in [k for k, (of, _) in _held.items() if of != stage]:
+    old = [k for k, (of, _) in _held.items() if of != stage]
+    for key in old:
         del _held[key]
+    if old:
+        give_back()
 
 
 def give_back() -> None:

@@ -13,6 +13,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at a time; a longer text is handled alone.
 BYTES = 500_000
+#: Bytes, or words, that are hashed in one go.
+PART = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -45,7 +47,9 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, 1 << max(19, (n - 1).bit_length()))
+    if n <= PART:
+        return _powers(base, PART)
+    return _powers.__wrapped__(base, n)  # for once
 
 
 class Words:
@@ -71,25 +75,34 @@ class Words:
         return self.run_hashes(self.starts, self.ends, lower)
 
     def run_hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each run of bytes."""
-        if not len(starts):
-            return np.empty(0, np.uint64)
-        up, down = powers(_BASE, len(self.data))
-        values = _BYTE_VALUES[LOWER] if lower else _BYTE_VALUES
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(values[self.data] * up[: len(self.data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        """A 64-bit hash of each run of bytes, which follow one another. It doesn't depend on the place, so long data are done in parts."""
+        values, out, i = _BYTE_VALUES[LOWER] if lower else _BYTE_VALUES, np.empty(len(starts), np.uint64), 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + PART, "right")))
+            own = self.data[starts[i] : ends[j - 1]]
+            up, down = powers(_BASE, len(own))
+            sums = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum(values[own] * up[: len(own)], out=sums[1:])
+            a, b = starts[i:j] - starts[i], ends[i:j] - starts[i]
+            out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+            i = j
+        return out
 
 
 def gram_hashes(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """A hash of each n consecutive values, at the place of the first (also across texts)."""
     if len(words) < n:
         return np.empty(0, np.uint64)
-    up, down = powers(_WORD_BASE, len(words))
-    sums = np.zeros(len(words) + 1, np.uint64)
     values = words if not seed else mix(words + np.uint64(seed))
-    np.cumsum(values * up[: len(words)], out=sums[1:])
-    return mix((sums[n:] - sums[:-n]) * down[: len(words) - n + 1])
+    step = max(PART - n + 1, n)
+    parts = []
+    for i in range(0, len(words) - n + 1, step):
+        own = values[i : i + step + n - 1]
+        up, down = powers(_WORD_BASE, len(own))
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(own * up[: len(own)], out=sums[1:])
+        parts.append(mix((sums[n:] - sums[:-n]) * down[: len(own) - n + 1]))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def gram_counts(first: np.ndarray, n: int) -> np.ndarray:

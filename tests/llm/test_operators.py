@@ -344,3 +344,78 @@ def test_queries_over_whole_tables(spark):
     for name, query in QUERIES.items():
         if name.startswith(("op2_", "op6_", "op7_")):
             assert query(spark, SF).count() == n
+
+
+# ------------------------------------------------------------------ repeats, ties, very long texts
+
+
+def test_numerals_are_no_letters(spark):
+    model = language.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    rows = [(1, "½ ² 12"), (2, "①② Ⅷ"), (3, "12 a"), (4, None)]
+    got = by_id(language.identify(spark.createDataFrame(rows, "doc_id long, text string"), model, ["doc_id"]), "lang_pred", "score")
+    assert [got[i][0] == "und" for i in (1, 2, 3, 4)] == [True, True, False, True]
+
+
+def test_fit_is_bounded_with_repeated_ids(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    same = docs.limit(1).crossJoin(spark.range(300)).drop("id")
+    sizes = []
+    monkeypatch.setattr(language, "fit_svm", lambda rows, y, f=language.fit_svm: (sizes.append(len(rows)), f(rows, y))[1])
+    langs = docs.select("lang").distinct().count()
+    a = language.fit(docs.unionByName(same), 10)
+    assert max(sizes) <= 10 * langs
+    b = language.fit(docs, 10)
+    assert (a.family_weights == b.family_weights).all()
+
+
+def test_language_columns_of_clashing_names(odd):
+    out = language.identify(odd.selectExpr("doc_id", "text", "kept AS score", "d AS lang_pred", "t AS other"), None, ["doc_id", "score", "lang_pred", "other"])
+    assert out.columns == ["doc_id", "other", "lang_pred", "score"] and {r.score for r in out.collect()} == {0.0}
+    lines = line_dedup.line_dedup(odd.withColumn("n_lines", F.lit("x")))
+    assert lines.columns.count("kept") == 1 and lines.columns.count("n_lines") == 1 and lines.count() == odd.count()
+
+
+def test_neighbours_of_repeated_rows(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(80, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(base)]
+    rows += [(0, base[0].tolist())] * 30 + [(1000 + i, base[0].tolist()) for i in range(30)] + [(20, base[20].tolist())]
+    df = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")))
+    got = defaultdict(list)
+    for r in ann.nearest(df.where("id % 20 = 0"), df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    own = sorted({(i, tuple(v)) for i, v in rows})
+    for q in (0, 20, 40, 60):
+        scores = sorted(((-(np.array(v) @ base[q]), i) for i, v in own if i != q))[:20]
+        assert [v for v, _ in got[q]] == [i for _, i in scores] and len(got[q]) == 20
+        assert np.allclose([s for _, s in got[q]], [-s for s, _ in scores], rtol=1e-12, atol=0)
+
+
+def test_near_duplicates_of_one_id_with_two_texts(spark):
+    rng = random.Random(11)
+    a, b = ([f"w{rng.randint(0, 10**6)}" for _ in range(120)] for _ in range(2))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a[:-1])), (3, " ".join(b[1:])), (4, "other words stand here alone"), (4, "other words stand here alone")]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), near_dups.Near(3, 85)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4)]
+
+
+def test_common_pairs_vote_too(spark):
+    words = next(p for p in license_scan.TEMPLATES["gpl"] if "under the terms" in p).split()
+    k = words.index("under")
+    text = " ".join([*words[:k], "x", "under", "the", "y", *words[k + 2 :]])
+    got = by_id(license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")), "score", "labels")
+    assert got[1][0] == 1.0 and "gpl" in got[1][1]
+
+
+def long_text(n):
+    rng = random.Random(n)
+    vocabulary = [f"{rng.choice('abcdefgh')}{k}" for k in range(3000)] + ["of", "the", "under", "license", "mit"]
+    return "\n".join(" ".join(rng.choice(vocabulary) for _ in range(20)) for _ in range(n // 20))
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_very_long_text(spark, name):
+    """One text of 60,000 words among brief ones."""
+    rows = [(1, long_text(60_000), "en", "s"), (2, "brief", "en", "s"), (3, "=" * 20_000, "en", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in OPERATORS[name](df).collect()} == {1, 2, 3}
