@@ -69,7 +69,7 @@ class Scratch:
 
 
 #: Bytes of a table that may be broadcast, as its values need them; a row counts for some bytes of its own.
-BROADCAST_BYTES, ROW_BYTES = 32 << 20, 48
+BROADCAST_BYTES, ROW_BYTES = 8 << 20, 48
 
 
 def _width(kind: T.DataType, c):

@@ -6,7 +6,7 @@ coordinate descent) choose the language family, one against the rest, and then b
 languages of the family, which vote; ties go to the larger sum of margins, then to the name.
 
 Fitting uses at most ``PER_LANGUAGE`` labelled rows of each language, those with the least hash of
-their id, so that what the driver holds is bounded however large the corpus is. Predictions cover
+id and text, so that what the driver holds is bounded however large the corpus is. Predictions cover
 whole texts of all rows, very long ones too.
 
 Nulls: a text that is null or has no letter is ``und`` with score 0; rows with a null lang, text or
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import few, lean, table
+from bindery.llm.common import Scratch, few, lean, small, table
 from bindery.llm.words import text_blocks
 
 #: Language families; a language of none of them is a family of its own.
@@ -138,10 +138,13 @@ def _squash(m: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """A model from ``labelled`` (doc_id, text, lang), all of which may be used; null if there is none."""
     rows = labelled.where("lang is not null and text is not null and doc_id is not null").withColumn("t", F.xxhash64("text"))
-    keys = rows.select("doc_id", "lang", "t").distinct().withColumn("salt", F.pmod(F.xxhash64("doc_id", "t"), F.lit(64)))
-    for by in (["lang", "salt"], ["lang"]):  # first the least of each salted group, then of these
-        order = Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id", "t")
-        keys = keys.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).drop("r")
+    # a hash lets about four times as many through as are wanted, of which those with the least hash stay
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "t")).alias("n")).withColumnRenamed("lang", "_lang")
+    counts = small(Scratch(labelled.sparkSession, "language").table(few(counts), "counts"))
+    part = F.pmod(F.xxhash64("doc_id", "t"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    keys = rows.select("doc_id", "lang", "t").join(counts, F.col("lang") == F.col("_lang")).where(part * F.col("n") <= 4 * per_language + 100).select("doc_id", "lang", "t").distinct()
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id", "t"), F.lit(1 << 40)), "doc_id", "t")
+    keys = keys.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).drop("r")
 
     @lean
     def count(batches):
@@ -153,7 +156,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
                 yield pa.record_batch([langs.slice(i, j - i), pa.array([a.astype(np.int16).tobytes() for a in at]), pa.array([r[a].astype(np.float16).tobytes() for r, a in zip(x, at)])], names=["lang", "at", "x"])
 
     # at most per_language rows a language, so the keys may be broadcast; equal rows count once
-    some = rows.join(F.broadcast(keys.drop("salt")), ["doc_id", "lang", "t"]).groupBy("doc_id", "lang", "t").agg(F.first("text").alias("text")).mapInArrow(count, "lang string, at binary, x binary").toArrow()
+    some = rows.join(F.broadcast(keys), ["doc_id", "lang", "t"]).groupBy("doc_id", "lang", "t").agg(F.first("text").alias("text")).mapInArrow(count, "lang string, at binary, x binary").toArrow()
     if not some.num_rows:
         return None
     langs = np.array(some.column("lang").to_pylist(), object)
