@@ -75,8 +75,10 @@ def propagate_metadata(library: DataFrame, updates: DataFrame, columns: list[str
 def allocate_ids(rows: DataFrame, last_used: int, *order: str, key: str = "id") -> DataFrame:
     """``key`` numbered on from ``last_used``, in the order of the given columns."""
     base = rows.select(*[c for c in rows.columns if c != key])
-    # numbers are dealt by range: each range adds the rows of the ranges before it
-    ranged = base.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
+    # numbers are dealt by range: each range adds the rows of the ranges before it. Their number is given, so that no
+    # later step merges some of them in one branch alone
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = base.repartitionByRange(ranges, *[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))

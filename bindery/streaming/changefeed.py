@@ -16,28 +16,28 @@ from pyspark.sql import functions as F
 
 
 def replay(changes: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
-    """The state (key, columns, is_local, is_remote) after all changes, as one aggregation by key.
+    """The state (key, columns, is_local, is_remote) after all changes, by windows over each key's changes in order.
 
-    Remote resets, a short list, are one row that joins the changes of every key in their place.
+    Remote resets aren't dealt to the keys: a change counts the resets before it in one sorted array of their numbers,
+    and a remote flag of an earlier count has been reset.
     """
-    event = F.struct("seq", "source", "op", F.struct(*columns).alias("row"))
-    resets = changes.where("op = 'X' and source = 'remote'").agg(F.collect_list(event).alias("_resets"))
-    own = changes.where("op <> 'X'").groupBy(key).agg(F.collect_list(event).alias("_events"))
-    events = own.join(F.broadcast(resets)).withColumn("_events", F.sort_array(F.concat("_events", "_resets")))
-    row_type = f"struct<{', '.join(f'`{c}`:{changes.schema[c].dataType.simpleString()}' for c in columns)}>"
-    start = F.struct(F.lit(False).alias("l"), F.lit(False).alias("r"), F.lit(None).cast(row_type).alias("row"))
-
-    def step(state, e):
-        remote, op = e["source"] == "remote", e["op"]
-        there = state["l"] | state["r"]
-        gone = op.isin("R", "X")
-        left = F.when(~remote & (op == "A"), True).when(~remote & gone, False).otherwise(state["l"])
-        right = F.when(remote & (op == "A"), True).when(remote & gone, False).otherwise(state["r"])
-        row = F.when((op == "A") & ~there | (op == "U") & there, e["row"]).otherwise(state["row"])
-        return F.struct(left.alias("l"), right.alias("r"), F.when(left | right, row).alias("row"))
-
-    final = events.withColumn("_s", F.aggregate("_events", start, step)).where("_s.l or _s.r")
-    return final.select(key, *[F.col(f"_s.row.{c}").alias(c) for c in columns], F.col("_s.l").alias("is_local"), F.col("_s.r").alias("is_remote"))
+    resets = changes.where("op = 'X' and source = 'remote'").agg(F.sort_array(F.collect_set("seq")).alias("_resets"))
+    own = changes.where("op <> 'X'").join(F.broadcast(resets))  # one row, eight bytes a reset
+    own = own.withColumn("_epoch", F.size(F.filter("_resets", lambda x: x < F.col("seq")))).withColumn("_epochs", F.size("_resets")).drop("_resets")
+    before = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    flags = F.col("op").isin("A", "R")
+    here = F.last(F.when(flags & (F.col("source") == "local"), F.col("op") == "A"), ignorenulls=True)
+    there = F.last(F.when(flags & (F.col("source") == "remote"), F.struct((F.col("op") == "A").alias("on"), F.col("_epoch").alias("epoch"))), ignorenulls=True)
+    known = own.withColumn("_here", F.coalesce(here.over(before), F.lit(False))).withColumn("_there", there.over(before))
+    present = F.col("_here") | F.coalesce(F.col("_there.on") & (F.col("_there.epoch") == F.col("_epoch")), F.lit(False))
+    sets = ((F.col("op") == "A") & ~present) | ((F.col("op") == "U") & present)
+    order = lambda c: F.when(c, F.col("seq"))
+    final = known.withColumn("_sets", sets).groupBy(key).agg(
+        F.max_by(F.struct(*columns), order(F.col("_sets"))).alias("_row"),
+        F.coalesce(F.max_by(F.col("op") == "A", order(flags & (F.col("source") == "local"))), F.lit(False)).alias("is_local"),
+        F.coalesce(F.max_by((F.col("op") == "A") & (F.col("_epoch") == F.col("_epochs")), order(flags & (F.col("source") == "remote"))), F.lit(False)).alias("is_remote"),
+    )
+    return final.where("is_local or is_remote").select(key, *[F.col(f"_row.{c}").alias(c) for c in columns], "is_local", "is_remote")
 
 
 def apply_changes(state: tuple | None, changes: pd.DataFrame, columns: list[str]) -> tuple | None:
