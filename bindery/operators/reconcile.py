@@ -75,10 +75,13 @@ def propagate_metadata(library: DataFrame, updates: DataFrame, columns: list[str
 def allocate_ids(rows: DataFrame, last_used: int, *order: str, key: str = "id") -> DataFrame:
     """``key`` numbered on from ``last_used``, in the order of the given columns."""
     base = rows.select(*[c for c in rows.columns if c != key])
-    # numbers are dealt by range: each range adds the rows of the ranges before it. Their number is given, so that no
-    # later step merges some of them in one branch alone
-    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = base.repartitionByRange(ranges, *[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
+    # numbers are dealt by range: each range adds the rows of the ranges before it. The bounds are values of the rows
+    # with the least hashes, so a row's range doesn't depend on how or how often it is computed
+    ranges = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 200)
+    place = F.struct(*[F.col(c) for c in order])
+    some = base.select(place.alias("_o")).orderBy(F.xxhash64("_o"), "_o").limit(20 * ranges).agg(F.sort_array(F.collect_set("_o")).alias("_s"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(ranges)), lambda i: F.get("_s", F.floor(i * F.size("_s") / (ranges + 1)).cast("int")))
+    ranged = base.join(F.broadcast(some.select(at.alias("_bounds")))).withColumn("_part", F.size(F.filter("_bounds", lambda x: x <= place))).drop("_bounds")
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))

@@ -367,7 +367,19 @@ def html_titles(t):
     return H.titles(H.html_nodes(t("pages"), "page_id", "html")).select(F.col("doc_id").alias("page_id"), "title")
 
 
-@query()
+#: The pages' start tags in order; their scripts and comments hold none.
+_TAGS = """
+SELECT doc_id, node_no, tag, lower(regexp_extract(tag, '<([a-zA-Z0-9:]+)', 1)) AS name, string_split(regexp_extract(tag, ' class="([^"]*)"', 1), ' ') AS classes, regexp_extract(tag, ' id="([^"]*)"', 1) AS own
+FROM (SELECT page_id::VARCHAR AS doc_id, unnest(tags) AS tag, (generate_subscripts(tags, 1) - 1)::INT AS node_no FROM (SELECT page_id, regexp_extract_all(html, '<[a-zA-Z][^>]*>') AS tags FROM pages))
+"""
+_SELECTORS = f"""
+WITH g AS ({_TAGS}), c AS (SELECT doc_id, node_no, name, unnest(classes) AS c FROM g)
+SELECT doc_id, node_no, name AS selector FROM g UNION SELECT doc_id, node_no, name || '#' || own FROM g WHERE own <> '' UNION SELECT doc_id, node_no, '#' || own FROM g WHERE own <> ''
+UNION SELECT doc_id, node_no, name || '.' || c FROM c WHERE c <> '' UNION SELECT doc_id, node_no, '.' || c FROM c WHERE c <> ''
+"""
+
+
+@query(_SELECTORS)
 def html_candidate_selectors(t):
     return H.candidate_selectors(H.html_nodes(t("pages"), "page_id", "html"))
 
@@ -410,7 +422,7 @@ def css_sanitize(t):
     return _sheets(t).select("doc_id", *[css.css_render(F.concat("css", F.lit("}.x{a:#ffff;b}")), m).alias(m) for m in ("understood", "remove_errors", "remove_invalid", "original")])
 
 
-@query()
+@query(f"SELECT s.doc_id, s.node_no, r.property, r.value FROM ({_SELECTORS}) s JOIN ({_ONE_RULE}) r ON r.id = s.doc_id AND r.selector = s.selector")
 def style_apply(t):
     return H.page_styles(t("pages"), "page_id", "html")
 
