@@ -162,13 +162,13 @@ class HuffCdic:
 
 def decompress(data: bytes, compression: int, dictionary: HuffCdic | None = None) -> bytes:
     """Compression 1: none, 2: PalmDOC, 17480: HUFF/CDIC."""
-    if compression == 1:
-        return data
-    if compression == 2:
-        return palmdoc_decompress(data)
-    if compression == 17480 and dictionary:
-        return dictionary.decompress(data)
-    raise ValueError(f"unknown compression {compression}")
+    if compression not in DECOMPRESSORS or compression == 17480 and not dictionary:
+        raise ValueError(f"unknown compression {compression}")
+    return DECOMPRESSORS[compression](data, dictionary)
+
+
+#: Decompressors by their number in the header. Add to it to read another kind.
+DECOMPRESSORS = {1: lambda data, _: data, 2: lambda data, _: palmdoc_decompress(data), 17480: lambda data, dictionary: dictionary.decompress(data)}
 
 
 def _column(f, kind):

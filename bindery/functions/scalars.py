@@ -173,6 +173,15 @@ def one_decimal(x) -> Column:
     return F.format_string("%.1f", _lit(x).cast("double"))
 
 
+def visibility(flag) -> Column:
+    """Visible for true; Collapsed for false and null."""
+    return F.when(F.coalesce(_lit(flag), F.lit(False)), "Visible").otherwise("Collapsed")
+
+
+def is_visible(text) -> Column:
+    return F.coalesce(_lit(text) == "Visible", F.lit(False))
+
+
 def is_numeric_text(text) -> Column:
     return ~_lit(text).rlike(r"[^0-9.\-]+")
 

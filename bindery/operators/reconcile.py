@@ -150,6 +150,11 @@ def display_grid(df: DataFrame, hidden: list[str] = (), sort: str | None = None,
     return df.drop(*hidden)
 
 
+def headed_columns(df: DataFrame, headers: dict[str, str | None]) -> DataFrame:
+    """The columns that have a header, under that header, in the order of ``headers``."""
+    return df.select(*[F.col(f"`{c}`").alias(h) for c, h in headers.items() if h is not None])
+
+
 def device_volumes(disks: DataFrame, disk_partitions: DataFrame, partition_volumes: DataFrame, vendor: str = "VEN_KINDLE") -> DataFrame:
     """Volumes of the disks whose device id holds the vendor mark: disks (disk_id, device_id), links (disk_id, partition_id), (partition_id, volume)."""
     return disks.where(F.col("device_id").contains(vendor)).join(disk_partitions, "disk_id").join(partition_volumes, "partition_id")

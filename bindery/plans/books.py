@@ -294,3 +294,36 @@ def image_names(t):
 @query("SELECT p_partkey::VARCHAR AS doc_id, 2 AS node_no, '0000000000' AS filepos FROM part")
 def mobi_filepos(t):
     return H.resolve_filepos(H.html_nodes(_pages(t), "doc_id", "html"))
+
+
+@query(f"SELECT id, 'compression: 2\ntext_length: ' || n AS text FROM (SELECT id, sum(strlen(html)) + 39 AS n FROM ({_CHAPTERS}) WHERE id IN (SELECT s_suppkey FROM supplier) GROUP BY id)")
+def mobi_header_text(t):
+    lines = F.filter(F.split("text", "\n"), lambda x: x.startswith("compression:") | x.startswith("text_length:"))
+    return source.header_text(_files(t, "mobi")).select(_id().alias("id"), F.array_join(lines, "\n").alias("text"))
+
+
+# ------------------------------------------------------------------ trees and grids
+
+
+@query(f"""
+WITH f AS ({_PATHS}), a AS (SELECT path FROM f WHERE path NOT LIKE '%.txt') SELECT path, true AS is_file, 'lib' AS parent FROM a UNION ALL SELECT DISTINCT 'lib', false, '' FROM a
+""")
+def book_tree(t):
+    return source.tree(_paths(t)).select("path", "is_file", "parent")
+
+
+@query("""
+WITH f AS (SELECT 'm' || p_partkey % 4 || '/' || p_brand || '/' || p_partkey || '.mobi' AS path, p_partkey FROM part)
+SELECT path FROM f WHERE path LIKE 'm1/%' OR p_partkey % 10 = 0
+""")
+def selected_files(t):
+    files = t("part").select(F.concat(F.lit("m"), F.col("p_partkey") % 4, F.lit("/"), "p_brand", F.lit("/"), "p_partkey", F.lit(".mobi")).alias("path"), "p_partkey")
+    checked = files.where("p_partkey % 10 = 0").select("path").unionByName(t("region").select(F.lit("m1").alias("path")))
+    return source.selected_files(source.tree(files), checked)
+
+
+@query("SELECT doc_id AS \"Id\", CASE WHEN lang = 'en' THEN 'Visible' ELSE 'Collapsed' END AS \"Shown\", coalesce(lang = 'en', false) AS \"Back\" FROM documents")
+def headed_columns(t):
+    shown = S.visibility(F.col("lang") == "en")
+    rows = t("documents").select("doc_id", "source", shown.alias("shown"), S.is_visible(shown).alias("back"))
+    return R.headed_columns(rows, {"doc_id": "Id", "source": None, "shown": "Shown", "back": "Back"})

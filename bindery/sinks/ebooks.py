@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -88,6 +89,42 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, size long")
 
 
+def execute(plan: DataFrame, root: str) -> DataFrame:
+    """(id, action, done, error): a plan (id, action move, copy or delete, src_path, dst_path) carried out below ``root``, a row for each step.
+
+    A row comes as its step ends, so a reader sees progress. A step that was done before counts as done: tasks may run again.
+    """
+
+    def run(frames):
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                error = None
+                try:
+                    source, target = (os.path.join(root, p.lstrip("/\\")) if p else None for p in (r.src_path, r.dst_path))
+                    for p in (source, target):
+                        if p and os.path.commonpath([os.path.realpath(root), os.path.realpath(p)]) != os.path.realpath(root):
+                            raise ValueError(f"{p} leaves the folder")
+                    if r.action == "delete":
+                        if os.path.exists(source):
+                            os.remove(source)
+                        clean_backward(os.path.dirname(source), root)
+                    elif os.path.exists(source):
+                        os.makedirs(os.path.dirname(target), exist_ok=True)
+                        temporary = f"{target}.{os.getpid()}"
+                        shutil.copyfile(source, temporary)
+                        os.replace(temporary, target)
+                        if r.action == "move":
+                            os.remove(source)
+                            clean_backward(os.path.dirname(source), root)
+                    elif not os.path.exists(target):
+                        raise FileNotFoundError(f"no file {r.src_path}")
+                except (OSError, ValueError) as e:
+                    error = str(e)
+                yield pd.DataFrame([(str(r.id), r.action, error is None, error)], columns=["id", "action", "done", "error"])
+
+    return plan.select("id", "action", "src_path", "dst_path").mapInPandas(run, "id string, action string, done boolean, error string")
+
+
 def clean_backward(start: str, stop: str) -> None:
     """Removes empty folders from ``start`` up to, but without, ``stop``."""
     start, stop = os.path.realpath(start), os.path.realpath(stop)

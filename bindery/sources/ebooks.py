@@ -40,6 +40,20 @@ def directories(files: DataFrame) -> DataFrame:
     return files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("dir")).where("dir <> ''").distinct()
 
 
+def tree(files: DataFrame, extensions: tuple[str, ...] = ACCEPTED) -> DataFrame:
+    """(path, parent, is_file): the accepted files, and the directories that hold one somewhere below."""
+    own = files.select("path").where(S.extension(F.col("path")).isin(*extensions))
+    both = own.select("path", F.lit(True).alias("is_file")).unionByName(directories(own).select(F.col("dir").alias("path"), F.lit(False).alias("is_file")))
+    return both.select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("parent"), "is_file")
+
+
+def selected_files(nodes: DataFrame, checked: DataFrame) -> DataFrame:
+    """(path) of the files of a tree that are checked (path), or stand below a directory that is."""
+    parts = F.split("path", "/")
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")))
+    return nodes.where("is_file").select("path", above.alias("_at")).join(checked.select(F.col("path").alias("_at")), "_at", "left_semi").select("path").distinct()
+
+
 def _mobi_metadata(data: bytes) -> dict:
     from bindery.sources import mobi_format as M
 
@@ -187,6 +201,12 @@ def book_headers(files: DataFrame) -> DataFrame:
     return _mobi_rows(files, HEADERS, lambda book: sorted(book.headers().items()))
 
 
+def header_text(files: DataFrame) -> DataFrame:
+    """(path, text): the headers of MOBI files to read, a line for each field."""
+    line = F.concat(F.col("field"), F.lit(": "), F.col("value").cast("string"))
+    return book_headers(files).where("error is null").groupBy("path").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
+
+
 def exth_records(files: DataFrame) -> DataFrame:
     """(path, type, value): the first EXTH record of each type."""
     return _mobi_rows(files, EXTH_ROWS, lambda book: sorted(book.exth.items()))

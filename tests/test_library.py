@@ -282,3 +282,15 @@ def test_html_written_back():
 def test_headers():
     book = mobi_format.read_headers(mobi_format.write({"title": "T", "id": 5}, [("c", "<p>x</p>")]))
     assert {k: book.headers()[k] for k in ("compression", "record_size", "unique_id", "has_exth", "has_drm", "exth_records")} == {"compression": 2, "record_size": 4096, "unique_id": 5, "has_exth": 1, "has_drm": 0, "exth_records": 1}
+
+
+def test_plans_are_carried_out(spark, tmp_path):
+    for name in ("a/x.mobi", "a/y.mobi", "b/z.mobi"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    steps = [(1, "move", "a/x.mobi", "c/x.mobi"), (2, "copy", "a/y.mobi", "c/y.mobi"), (3, "delete", "b/z.mobi", None), (4, "move", "no.mobi", "c/no.mobi"), (5, "copy", "a/y.mobi", "../out.mobi")]
+    plan = spark.createDataFrame(steps, "id int, action string, src_path string, dst_path string")
+    for _ in range(2):  # a step that was done stays done
+        done = {r.id: r.done for r in sink.execute(plan, str(tmp_path)).collect()}
+        assert done == {"1": True, "2": True, "3": True, "4": False, "5": False}
+    assert sorted(p.relative_to(tmp_path).as_posix() for p in tmp_path.rglob("*")) == ["a", "a/y.mobi", "c", "c/x.mobi", "c/y.mobi"]
