@@ -63,10 +63,11 @@ class Library:
         errors = taken.unionByName(twice.join(taken, "id", "left_anti"))
         fresh = allocate_ids(new.where("id is null or id = 0"), last, "file_path", "title").select(books.columns)
         out = books.unionByName(keyed.join(errors.select("id"), "id", "left_anti").select(books.columns)).unionByName(fresh)
-        rejected = errors.collect()  # the books that the caller must look at, before the catalog moves on
+        rejected = os.path.join(self.root, f"rejected-{uuid.uuid4().hex[:8]}")
+        errors.write.parquet(rejected)  # for the caller to look at, written before the catalog moves on
         n = new.where("id is null or id = 0").count()
         self._commit(out, last + n)
-        return self.spark.createDataFrame(rejected, "id int, error string")
+        return self.spark.read.schema("id int, error string").parquet(rejected)
 
     def update(self, changed: DataFrame) -> None:
         """Replaces whole rows by id; an unknown id raises."""
