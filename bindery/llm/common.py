@@ -78,7 +78,10 @@ def _width(kind: T.DataType, c):
         return F.coalesce(F.octet_length(c), F.lit(0)) + 8
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType)):
         return F.coalesce(F.aggregate(c, F.lit(8).cast("long"), lambda a, x: a + _width(kind.elementType, x)), F.lit(8))
-    return F.coalesce(F.size(c), F.lit(0)) * 8 + 8 if isinstance(kind, T.ArrayType) else F.lit(8)
+    if isinstance(kind, T.ArrayType):
+        each = 16 + 8 * len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 8
+        return F.coalesce(F.size(c), F.lit(0)) * each + 8
+    return F.lit(8)
 
 
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:

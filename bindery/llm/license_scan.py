@@ -56,6 +56,8 @@ def words(text):
 _PHRASE_LIST = [(label, base, phrase.split()) for base, kinds in ((True, BASE), (False, TEMPLATES)) for label, phrases in kinds.items() for phrase in phrases]
 #: Phrases of fewer words must stand whole on one diagonal; longer ones may change diagonals.
 SHORT = 6
+#: Bytes of candidate places that may be broadcast to the texts, which else are dealt out once.
+PLACES_BYTES = 64 << 20
 
 
 def _templates(spark: SparkSession) -> DataFrame:
@@ -78,11 +80,15 @@ def license_spans(docs: DataFrame, scratch: Scratch, coverage: float = 0.75, gap
     alone = apart & (F.lead("diagonal").over(order) - F.col("diagonal") > gap)
     hopeless = F.when(F.col("size") < SHORT, F.col("votes") < F.col("size") - 1).otherwise(F.coalesce(alone, F.lit(False)) & ((F.col("votes") + F.col("size") + 1) / 2 < coverage * F.col("size")))
     spans = voted.withColumn("span", F.sum(F.coalesce(apart.cast("int"), F.lit(1))).over(order)).withColumn("hopeless", hopeless)
-    places = spans.where("not hopeless").groupBy("doc_id", "t").agg(F.collect_list(F.struct("template", "span", "diagonal")).alias("places"))
-    places = small(scratch.table(few(places), "places")).withColumnsRenamed({"doc_id": "_d", "t": "_t"})
-    # the words come back once for each document, and stay in one row while its diagonals are compared
+    spans = scratch.table(few(spans.where("not hopeless").select("doc_id", "t", "template", "size", "span", "diagonal")), "candidates")
+    # all pairs of a short phrase on one diagonal are the phrase; words are compared for the longer ones
+    whole = spans.where(F.col("size") < SHORT).select("doc_id", "t", "template", F.col("diagonal").alias("first_word"), F.lit(1.0).alias("coverage"))
+    places = spans.where(F.col("size") >= SHORT).groupBy("doc_id", "t").agg(F.collect_list(F.struct("template", "span", "diagonal")).alias("places"))
+    places = small(scratch.table(few(places), "places"), PLACES_BYTES).withColumnsRenamed({"doc_id": "_d", "t": "_t"})
+    # the text comes back once for each document, and its words stay in one row while its diagonals are compared
     phrases = F.array(*[F.array(*map(F.lit, words)) for _, _, words in _PHRASE_LIST])
-    back = df.join(places, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
+    back = texts.join(places, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))).select("doc_id", "t", "places", words(F.col("text")).alias("w"))
 
     def matched(p):
         return F.filter(F.sequence(F.lit(0), F.size(F.get(phrases, p["template"])) - 1), lambda j: F.when(p["diagonal"] + j >= 0, F.get("w", F.greatest(p["diagonal"] + j, F.lit(0))) == F.get(F.get(phrases, p["template"]), j)))
@@ -91,8 +97,8 @@ def license_spans(docs: DataFrame, scratch: Scratch, coverage: float = 0.75, gap
     each = back.select("doc_id", "t", F.explode(F.transform("places", lambda p: F.struct(p["template"].alias("template"), p["span"].alias("span"), p["diagonal"].alias("diagonal"), matched(p).alias("matched")))).alias("p"))
     spans = each.select("doc_id", "t", "p.*").groupBy("doc_id", "t", "template", "span").agg(F.min("diagonal").alias("first_word"), F.array_distinct(F.flatten(F.collect_set("matched"))).alias("matched"))
     labels, bases, sizes = (F.get(F.array(*map(F.lit, x)), F.col("template")) for x in ([p[0] for p in _PHRASE_LIST], [p[1] for p in _PHRASE_LIST], [len(p[2]) for p in _PHRASE_LIST]))
-    spans = spans.select("doc_id", "t", "template", labels.alias("label"), bases.alias("base"), "first_word", (F.size("matched") / sizes).alias("coverage"), (sizes < SHORT).alias("short"))
-    return spans.where(F.when(F.col("short"), F.col("coverage") == 1).otherwise(F.col("coverage") >= coverage)).drop("short")
+    spans = spans.select("doc_id", "t", "template", "first_word", (F.size("matched") / sizes).alias("coverage")).where(F.col("coverage") >= coverage)
+    return whole.unionByName(spans).select("doc_id", "t", "template", labels.alias("label"), bases.alias("base"), "first_word", "coverage")
 
 
 def scan_licenses(docs: DataFrame, coverage: float = 0.75) -> DataFrame:
